@@ -250,8 +250,8 @@ def ts_alias_rewrite(spark, folder):
     """Two wildcard aliases off a tsconfig; the longer prefix answers first."""
     config = ('{ // aliases\n "compilerOptions": {"baseUrl": ".", "paths": {"@app/*": ["src/*"], '
               '"@app/promo/*": ["promo/*"],},}, }')
-    configs = table(spark, folder, "region").limit(1).select(
-        _repo(), F.lit("tsconfig.json").alias("path"), F.lit(config).alias("content"))
+    configs = table(spark, folder, "region").select(
+        _repo(), F.lit("tsconfig.json").alias("path"), F.lit(config).alias("content")).distinct()
     specifiers = table(spark, folder, "part").select(
         _repo(), "p_partkey", F.concat(F.lit("@app/"), F.lower("p_type"), F.lit("/p"), F.col("p_partkey").cast("string")).alias("specifier"))
     bases = R.rewritten_specifiers(specifiers, R.alias_table(configs)).groupBy("repo", "specifier").agg(
@@ -301,8 +301,8 @@ def _family_repository(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
         ("rust", "src/m", "/mod.rs", "pub fn f", "() {}\n", "crate::m", "::login"),
     )])).alias("f")
     listed = s.select("k", shapes).select("k", "f.*")
-    root = table(spark, folder, "region").limit(1).select(
-        _repo(), F.lit("go.mod").alias("path"), F.lit("module example.com/m\n").alias("head"))
+    root = table(spark, folder, "region").select(
+        _repo(), F.lit("go.mod").alias("path"), F.lit("module example.com/m\n").alias("head")).distinct()
     heads = listed.select(_repo(), "path", "head").unionByName(root)
     suffix = F.create_map(*[F.lit(x) for x in ("go", ".go", "java", ".java", "csharp", ".cs", "rust", ".rs")])
     imports = listed.select(
