@@ -19,6 +19,7 @@ Relations
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,6 +185,9 @@ def walk(direct: DataFrame, seeds: DataFrame, calls: DataFrame, max_depth: int =
 
     for depth in range(1, max_depth + 1):
         arrived = cut_lineage(_arrivals(frontier, calls).withColumn("distance", F.lit(depth)))
+        if arrived.isEmpty():
+            frontier = None
+            break
         rings.append(arrived)
         fresh = cut_lineage(
             _without(arrived, visited).groupBy(*KEY).agg(
@@ -200,7 +204,7 @@ def walk(direct: DataFrame, seeds: DataFrame, calls: DataFrame, max_depth: int =
     if frontier is not None:
         cut_short = frontier.select("repo").distinct().withColumn("truncated", F.lit(True))
 
-    return _assemble(direct, rings, firsts, cut_short)
+    return _assemble(direct, rings, firsts, cut_short, arrived.limit(0))
 
 
 def _without(arrived: DataFrame, visited: DataFrame) -> DataFrame:
@@ -213,7 +217,7 @@ def _without(arrived: DataFrame, visited: DataFrame) -> DataFrame:
 
 
 def _assemble(direct: DataFrame, rings: list[DataFrame], firsts: list[DataFrame],
-              cut_short: DataFrame | None) -> Walk:
+              cut_short: DataFrame | None, empty_ring: DataFrame) -> Walk:
     spark = direct.sparkSession
     own = direct.select(
         "repo", "path", "symbol", "category", F.lit("confirmed").alias("confidence"),
@@ -225,10 +229,7 @@ def _assemble(direct: DataFrame, rings: list[DataFrame], firsts: list[DataFrame]
             "repo", F.col("at_path").alias("path"), F.col("at_symbol").alias("symbol"), "category",
             "confidence", "distance", "reason", "chain", "evidence", "ord"))
 
-    arrived = rings[0]
-    for ring in rings[1:]:
-        arrived = arrived.unionByName(ring)
-    arrived = arrived.select(
+    arrived = reduce(DataFrame.unionByName, rings, empty_ring).select(
         "repo", F.col("at_path").alias("path"), F.col("at_symbol").alias("symbol"), "distance", "ord", *ROUTE)
     taken = nodes.where("ord is not null").select(
         F.col("repo").alias("n_repo"), F.col("path").alias("n_path"), F.col("symbol").alias("n_symbol"),
