@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ripplework import model
-from ripplework.functions.text import any_of, col
+from ripplework.functions.text import col
 
 # Names that decide what a file is.
 TEST_DIRECTORIES = ("test", "tests", "__tests__")
@@ -142,15 +142,12 @@ def c_family_module_id(path: Column | str) -> Column:
 
 def is_ignored(path: Column | str, patterns: Sequence[str]) -> Column:
     """An exact path, anything below it, or a ``*suffix`` in either case."""
-    value = F.replace(col(path), F.lit("\\"), F.lit("/"))
-    rules = []
-    for pattern in patterns:
-        rule = pattern.replace("\\", "/").strip("/")
-        if rule.startswith("*"):
-            rules.append(F.lower(value).endswith(rule[1:].lower()))
-        else:
-            rules.append((value == rule) | value.startswith(rule + "/"))
-    return any_of(rules)
+    rules = [pattern.replace("\\", "/").strip("/") for pattern in patterns]
+    below = "|".join(re.escape(rule) for rule in rules if not rule.startswith("*"))
+    ends = "|".join(re.escape(rule[1:]) for rule in rules if rule.startswith("*"))
+    # One expression, so a long list costs one match per path.
+    parts = ([f"^(?:{below})(?:/|$)"] if below else []) + ([f"(?i:(?:{ends})$)"] if ends else [])
+    return F.replace(col(path), F.lit("\\"), F.lit("/")).rlike("|".join(parts)) if parts else F.lit(False)
 
 
 def is_secret(path: Column | str, globs: Sequence[str] = SECRET_GLOBS) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -200,7 +199,3 @@ def json_strings(document: Column, path: str) -> Column:
         lambda item: F.when(F.schema_of_variant(item) == "STRING", F.try_variant_get(item, "$", "string")),
     )
     return F.coalesce(F.array_compact(strings), F.array().cast("array<string>"))
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda left, right: left | right, conditions, F.lit(False))

@@ -14,6 +14,7 @@ from ripplework.operators import maps as M
 from ripplework.plans.linkage import WALK_SQL, trade_walk
 from ripplework.plans.registry import query, table
 from ripplework.sinks import export as E
+from ripplework.sources import artifacts as A
 
 STOP_SQL = "[" + ", ".join(f"'{word}'" for word in X.STOPWORDS) + "]"
 
@@ -428,3 +429,46 @@ def element_ids(spark, folder):
     key = F.concat("p_name", F.col("p_partkey").cast("string"))
     return table(spark, folder, "part").select(
         "p_partkey", X.element_id("rectangle", key).alias("id"), X.element_seed(key).alias("seed"))
+
+
+# ----------------------------------------------------------------------------- artifacts
+
+
+@query("baseline_restore", """
+SELECT l_orderkey, CASE WHEN first_flag = 'R' THEN NULL ELSE 'b' || l_orderkey END AS baseline_id,
+  CASE WHEN first_flag = 'R' THEN NULL WHEN first_flag = 'N' THEN FALSE ELSE TRUE END AS dirty,
+  CASE WHEN first_flag = 'R' THEN NULL WHEN first_flag = 'N' THEN 0 ELSE n END AS tracked_changes FROM (
+  SELECT l_orderkey, min(l_returnflag) AS first_flag, count(*) AS n FROM lineitem GROUP BY 1)""")
+def baseline_restore(spark, folder):
+    """Stored baselines: sound, with wrongly typed fields, and without their identity."""
+    flag = F.col("flag")
+    orders = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("flag"), F.count("*").alias("n"))
+    key = F.col("l_orderkey").cast("string")
+    sound = F.to_json(F.struct(F.concat(F.lit("b"), key).alias("baseline_id"), F.lit("HEAD").alias("base_revision"),
+                               F.lit(True).alias("dirty"), F.col("n").alias("tracked_changes")))
+    typed = F.to_json(F.struct(F.concat(F.lit("b"), key).alias("baseline_id"), F.lit("HEAD").alias("base_revision"),
+                               F.lit("yes").alias("dirty"), F.lit(True).alias("tracked_changes")))
+    payload = F.when(flag == "A", sound).when(flag == "N", typed).otherwise(F.lit('{"baseline_id": 7'))
+    return A.baselines(orders.withColumn("payload", payload)).select(
+        "l_orderkey", "baseline.baseline_id", "baseline.dirty", "baseline.tracked_changes")
+
+
+@query("intent_restore", """
+SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'related' END AS relatedness,
+  CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_name END AS tokens FROM customer""")
+def intent_restore(spark, folder):
+    """A stored comparison counts when its verdict is a known one; other list members are dropped."""
+    customers = table(spark, folder, "customer").select("c_custkey", F.concat(
+        F.lit('{"relatedness": "'), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "related").otherwise("maybe"),
+        F.lit('", "tokens": ["'), "c_name", F.lit('", 7, null]}')).alias("payload"))
+    return A.intents(customers).select("c_custkey", "intent.relatedness", F.array_join("intent.tokens", ",").alias("tokens"))
+
+
+@query("test_run_restore", PYTEST_SQL + """
+SELECT user_id, CASE WHEN f > 0 THEN 'failed' END AS status, CASE WHEN f > 0 THEN p END AS passed, CASE WHEN f > 0 THEN 0 END AS skipped FROM k""")
+def test_run_restore(spark, folder):
+    """A run that was not made and gives no reason is no record; a counter of the wrong type is 0."""
+    counts = _test_output(spark, folder)
+    payload = F.when(F.col("f") > 0, F.to_json(F.struct(F.lit("failed").alias("status"), F.col("p").alias("passed"), F.lit("3").alias("skipped")))).otherwise(
+        '{"status": "not_run"}')
+    return A.test_runs(counts.withColumn("payload", payload)).select("user_id", "run.status", "run.passed", "run.skipped")

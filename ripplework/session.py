@@ -18,6 +18,8 @@ def local_session(app: str = "ripplework", cores: str = "*") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(parallelism))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Test data is small: let every core have some of it, parsers above all.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))

@@ -19,7 +19,19 @@ from ripplework.plans.analyze import Report
 RECORD = "session_id string, repo string, started_at string, stabilised_at string, status string, changed_files long"
 EVENT = "at string, kind string, session_id string, detail string"
 # The artifacts of a session, in writing order; the record comes after all of them.
-ARTIFACTS = ("changes", "symbols", "imports", "nodes", "reaches", "evidence", "edges", "limitations", "external")
+_ROUTE = "category string, confidence string, distance int, reason string, chain array<string>"
+ARTIFACTS = {
+    "changes": "repo string, path string, status string, original_path string, insertions int, deletions int, "
+               "binary boolean, tracked boolean, contents_withheld boolean, note string",
+    "symbols": "repo string, path string, qualified_name string, kind string, change string, line_start int, line_end int, detail string",
+    "imports": "repo string, path string, rendered string, change string",
+    "nodes": f"repo string, path string, symbol string, {_ROUTE}, evidence array<struct<kind:string,path:string,line:int,detail:string>>",
+    "reaches": f"repo string, path string, symbol string, {_ROUTE}, arrivals long",
+    "evidence": "repo string, path string, symbol string, reach_reason string, kind string, evidence_path string, line int, detail string",
+    "edges": "repo string, source_path string, target_path string, module string, line int, change string",
+    "limitations": "repo string, rank int, text string",
+    "external": "repo string, module string",
+}
 
 
 @dataclass(frozen=True)
@@ -41,13 +53,15 @@ class Store:
 
     def write_artifact(self, name: str, rows: DataFrame, sessions: DataFrame) -> None:
         """Replace one artifact of the given sessions, partition by partition."""
-        keyed = rows.join(sessions.select("repo", "session_id"), "repo")
+        columns = [part.split()[0] for part in ARTIFACTS[name].split(", ")]
+        keyed = rows.select([column for column in columns if column in rows.columns]).join(sessions.select("repo", "session_id"), "repo")
         keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(self._path(f"artifacts/{name}"))
 
     def artifact(self, name: str, session_id: str | None = None) -> DataFrame | None:
         """One artifact of committed sessions, or None when there is none."""
         try:
-            rows = self.spark.read.parquet(self._path(f"artifacts/{name}"))
+            # A session that found nothing leaves no file behind; the schema is known regardless.
+            rows = self.spark.read.schema(f"{ARTIFACTS[name]}, session_id string").parquet(self._path(f"artifacts/{name}"))
         except AnalysisException:
             return None
         rows = rows if session_id is None else rows.where(F.col("session_id") == session_id)
@@ -60,7 +74,7 @@ class Store:
         sessions = settled.select("repo", "session_id")
         relations = {
             "changes": report.changes, "symbols": report.symbol_changes, "imports": report.import_changes,
-            "nodes": report.walk.nodes, "reaches": report.walk.reaches.drop("position"), "evidence": report.walk.evidence.drop("position"),
+            "nodes": report.walk.nodes, "reaches": report.walk.reaches, "evidence": report.walk.evidence,
             "edges": report.edge_changes, "limitations": report.limitations, "external": external_modules(report.external)}
         for name in ARTIFACTS:
             self.write_artifact(name, relations[name], sessions)
