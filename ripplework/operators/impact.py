@@ -122,6 +122,24 @@ def attribute_callers(resolved_calls: DataFrame, symbols: DataFrame) -> DataFram
     return found.drop("at")
 
 
+def focus(changed: DataFrame, edges: DataFrame, max_depth: int = model.MAX_DEPTH) -> DataFrame:
+    """(repo, path): files that reach a changed one over at most *max_depth* imports.
+
+    Edges are narrow, so finding this set first is cheap, and only its calls have to be
+    resolved: a session that touches little costs little, whatever the repository holds.
+    """
+    seen = cut_lineage(changed.select("repo", "path").distinct())
+    ring = seen
+    for _ in range(max_depth):
+        importers = edges.join(ring.withColumnRenamed("path", "target_path"), ["repo", "target_path"], "left_semi").select(
+            "repo", F.col("source_path").alias("path")).distinct()
+        ring = cut_lineage(importers.join(seen, ["repo", "path"], "left_anti"))
+        if ring.isEmpty():
+            break
+        seen = seen.unionByName(ring)
+    return seen
+
+
 def walkable_calls(called: DataFrame, edges: DataFrame) -> DataFrame:
     """Calls the walk can follow: into the same file, or into a file the caller's file imports.
 

@@ -53,6 +53,8 @@ class Tree:
     heads: DataFrame
     aliases: DataFrame
     bases: DataFrame
+    names: DataFrame
+    index: DataFrame
     analysis: Analysis
     resolved: DataFrame
 
@@ -69,9 +71,13 @@ def build_tree(after: DataFrame, max_bytes: int = model.MAX_FILE_BYTES) -> Tree:
     heads = cut_lineage(file_heads(after))
     configs = after.where(P.leaf("path") == "tsconfig.json").select("repo", "path", as_text(F.col("content")).alias("content"))
     aliases, bases = cut_lineage(R.alias_table(configs)), cut_lineage(R.base_urls(configs))
+    files = cut_lineage(files)
+    names = cut_lineage(R.module_names(files))
+    index = cut_lineage(R.build_index(files, heads, names))
     analysis = _kept(analyze_files(after, max_bytes))
-    resolved = cut_lineage(R.resolve_imports(analysis.imports, files, heads, aliases, bases))
-    return Tree(files, heads, aliases, bases, analysis, resolved)
+    candidates = R.import_candidates(analysis.imports, R.importing_names(files, names), aliases, bases)
+    resolved = cut_lineage(R.resolve_candidates(candidates, index))
+    return Tree(files, heads, aliases, bases, names, index, analysis, resolved)
 
 
 def _kept(analysis: Analysis) -> Analysis:
@@ -109,9 +115,11 @@ def _edge_changes(tree: Tree, before: Analysis, modules: DataFrame) -> DataFrame
     """Relationships of changed files before and after, both resolved against the current tree."""
     moved = modules.where("original_path is not null").select("repo", F.col("original_path").alias("path"), F.col("path").alias("now"))
     touched = modules.select("repo", "path")
-    names = R.importing_names(tree.files.unionByName(before.modules.select("repo", "path")).distinct())
+    # Departed files are named among the current packages, like any other file.
+    listed = before.modules.select("repo", "path").distinct()
+    names = R.importing_names(listed, R.module_names(listed, R.package_directories(tree.files)))
     candidates = R.import_candidates(before.imports, names, tree.aliases, tree.bases)
-    then = R.resolve_candidates(candidates, R.build_index(tree.files, tree.heads))
+    then = R.resolve_candidates(candidates, tree.index)
     then = _under_new_path(then, moved).join(touched, ["repo", "path"], "left_semi")
     now = tree.resolved.join(touched, ["repo", "path"], "left_semi")
 
@@ -123,12 +131,22 @@ def _edge_changes(tree: Tree, before: Analysis, modules: DataFrame) -> DataFrame
 
 
 def _dangling(tree: Tree, before: DataFrame, modules: DataFrame) -> DataFrame:
-    departed = G.departed_paths(modules)
-    files = tree.files.unionByName(departed).distinct()
-    gone_heads = file_heads(before).join(departed, ["repo", "path"], "left_semi")
+    """Unresolved imports that a departed file would have answered.
+
+    No current file answers any of their candidates, so only the keys departed files provided
+    have to be looked up, however large the tree is. Rust modules that are declared but have
+    no file still end the climb.
+    """
+    departed = cut_lineage(G.departed_paths(modules))
     unresolved = G.unresolved_imports(tree.resolved)
-    then = R.resolve_imports(unresolved, files, tree.heads.unionByName(gone_heads), tree.aliases, tree.bases)
-    return G.dangling_imports(then, departed)
+    root = tree.heads.where("path = 'go.mod'")
+    heads = root.unionByName(file_heads(before).join(departed, ["repo", "path"], "left_semi"))
+    packages = R.package_directories(tree.files.unionByName(departed))
+    gone = R.build_index(departed, heads, R.module_names(departed, packages))
+    ends = tree.index.where("path is null")
+    index = gone.unionByName(ends.join(gone.select("repo", "language", "key"), ["repo", "language", "key"], "left_anti"))
+    candidates = R.import_candidates(unresolved, R.importing_names(tree.files, tree.names), tree.aliases, tree.bases)
+    return G.dangling_imports(R.resolve_candidates(candidates, index), departed)
 
 
 def _limitations(tree: Tree, before: Analysis, modules: DataFrame, walk: I.Walk, external: DataFrame, max_depth: int) -> DataFrame:
@@ -155,9 +173,12 @@ def analyze_change(before: DataFrame, after: DataFrame, changes: DataFrame, max_
     old = _kept(analyze_files(before, max_bytes))
     modules, symbol_changes, import_changes = (cut_lineage(frame) for frame in session_changes(tree, old, changes))
     edges = G.import_edges(tree.resolved)
+    related = cut_lineage(G.relationships(edges))
+    near = I.focus(symbol_changes, related, max_depth)
+    nearby = lambda frame: frame.join(near, ["repo", "path"], "left_semi")
     called = I.attribute_callers(
-        R.resolve_calls(tree.analysis.calls, tree.resolved, tree.analysis.symbols), tree.analysis.symbols)
-    calls = I.walkable_calls(called, G.relationships(edges))
+        R.resolve_calls(nearby(tree.analysis.calls), nearby(tree.resolved), tree.analysis.symbols), nearby(tree.analysis.symbols))
+    calls = I.walkable_calls(called, related)
     listed = changes.join(modules.select("repo", "path", F.lit(True).alias("known")), ["repo", "path"], "left").select(
         "repo", "path", "status", F.coalesce("known", F.lit(False)).alias("analysed"))
     direct = cut_lineage(I.direct_nodes(listed, symbol_changes, Y.import_change_counts(import_changes)))
