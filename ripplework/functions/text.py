@@ -57,7 +57,7 @@ def looks_binary(content: Column | str) -> Column:
 def line_count(text: Column | str) -> Column:
     """How many lines ``splitlines`` would give."""
     value = col(text)
-    last_is_break = value.rlike(f"(?s)(?:{LINE_BREAK})\\z")
+    last_is_break = F.right(value, F.lit(1)).rlike(LINE_BREAK)
     return (
         F.when(F.length(value) == 0, F.lit(0))
         .otherwise(F.regexp_count(value, F.lit(LINE_BREAK)) + F.when(last_is_break, 0).otherwise(1))

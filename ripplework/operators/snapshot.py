@@ -100,14 +100,12 @@ def snapshot_changes(captured: DataFrame, blobs: DataFrame, current: DataFrame,
         F.when(F.col("verdict") == "sensitive_added", model.NOTE_SENSITIVE)
         .when(F.col("verdict") == "withheld", F.col("withheld"))
         .when(F.col("verdict") == "unknown_before", model.NOTE_NO_BASELINE).alias("note"))
+    # A file that was absent has no stored content, so both cases compare what is there.
     compared = with_line_counts(
-        ruled.where("verdict in ('added', 'compare')").select(
-            "repo", "path", "tracked", "verdict",
-            F.when(F.col("verdict") == "compare", F.col("then")).otherwise("").alias("then"), "now"),
-        "then", "now")
-    moved = compared.where("verdict = 'added' or binary or insertions + deletions > 0")
+        ruled.where("verdict in ('added', 'compare')").select("repo", "path", "tracked", "absent", "then", "now"), "then", "now")
+    moved = compared.where("absent or binary or insertions + deletions > 0")
     return plain.unionByName(moved.select(
-        "repo", "path", F.when(F.col("verdict") == "added", "added").otherwise("modified").alias("status"),
+        "repo", "path", F.when(F.col("absent"), "added").otherwise("modified").alias("status"),
         _null("string").alias("original_path"), "insertions", "deletions", "binary", "tracked",
         F.lit(False).alias("contents_withheld"), _null("string").alias("note")))
 

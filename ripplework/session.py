@@ -32,10 +32,13 @@ def local_session(app: str = "ripplework", cores: str = "*") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` where it is set.
 
-    Only an unset value falls back to a temporary folder, which suits a single machine.
+    An unset value falls back to a temporary folder on a single machine and is an error on a
+    cluster, where no such folder would be shared.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ripplework-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
