@@ -215,7 +215,7 @@ def _export(work: Workspace, args: argparse.Namespace) -> int:
         documents = (E.to_svg if args.format == "svg" else E.to_excalidraw)(args.view, boxes, M.routed(boxes, drawn), omitted)
     row = documents.first()
     target = Path(args.output) if args.output else work.root / STATE_DIRECTORY / f"{session}-{args.view}.{args.format}"
-    target.write_text((row["document"] if row else "") + "\n", encoding="utf-8")
+    target.write_text((row["document"] if row else E.empty_document(args.view, args.format, work.repo)) + "\n", encoding="utf-8")
     print(target)
     return 0
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ripplework import model
 from ripplework.functions.text import session_url
 from ripplework.functions.wording import impact_detail, is_obligation, reach_detail, reason_label
+from ripplework.session import cut_lineage
 
 FILE_STATES = {"added": "added", "deleted": "removed"}
 # Box geometry.
@@ -41,6 +42,9 @@ def evidence_graph(files: DataFrame, module_changes: DataFrame, edge_changes: Da
     from several relations is one node: the strongest state, the first description, the
     smallest distance.
     """
+    # Both are read by several of the passes below; computed once each.
+    nodes = cut_lineage(nodes.select("repo", "path", "symbol", "category", "reason", "distance", "confidence", "chain"))
+    reaches = cut_lineage(reaches.select("repo", "path", "symbol", "category", "reason", "distance", "confidence", "chain"))
     empty = F.lit(None).cast(_NO_PLACE)
 
     def seen(frame: DataFrame, step: int, state: Column, detail: Column, place: Column = empty,
@@ -71,7 +75,7 @@ def evidence_graph(files: DataFrame, module_changes: DataFrame, edge_changes: Da
     structural = edge_changes.groupBy(
         "repo", F.col("source_path").alias("source"), F.col("target_path").alias("target"), F.col("change").alias("kind")).agg(
         F.count("*").alias("evidence")).where("source <> target")
-    edges = affects.unionByName(structural.select(affects.columns))
+    edges = cut_lineage(affects.unionByName(structural.select(affects.columns)))
     ends = edges.select("repo", F.explode(F.array("source", "target")).alias("path")).distinct()
     from_ends = seen(ends, 4, F.lit("context"), F.lit(""))
 

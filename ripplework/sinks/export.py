@@ -5,6 +5,9 @@ A view has at most forty boxes, so gathering one view in one row is bounded.
 
 from __future__ import annotations
 
+import json
+from html import escape
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +52,20 @@ def to_json(view: str, nodes: DataFrame, edges: DataFrame, omitted: DataFrame) -
     return gathered.select("repo", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
 
 
+def empty_document(view: str, kind: str, repo: str) -> str:
+    """What an export says when its view has no node: a document that opens and explains itself."""
+    title = f"{TITLES[view]} — {repo}"
+    if kind == "svg":
+        shown = escape(title)
+        return (f'<svg xmlns="http://www.w3.org/2000/svg" width="560.0" height="80.0" viewBox="0 0 560 80" role="img"><title>{shown}</title>'
+                f'<text x="12" y="26" font-size="11">{shown}</text><text x="12" y="46" font-size="10">There is nothing to draw.</text></svg>')
+    if kind == "json":
+        return json.dumps({"format": FORMAT, "version": VERSION, "view": view, "title": TITLES[view], "repository": repo,
+                           "omitted": 0, "nodes": [], "edges": []}, ensure_ascii=False)
+    return json.dumps({"type": "excalidraw", "version": 2, "source": "ripplework", "elements": [],
+                       "appState": {"viewBackgroundColor": "#ffffff"}, "files": {}})
+
+
 def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The whole graph, uncapped, as one JSON line per node and per edge."""
     lines = nodes.select("repo", F.lit("node").alias("part"), F.to_json(F.struct("path", "state", "distance", "detail", "link")).alias("line"))

@@ -140,3 +140,13 @@ def test_python_facts_keep_every_marker():
     moved = file_facts(b"@d\nclass A(B, k=1):\n\n    def f(self, a, /, b: int=1, *args, c=2, **kw) -> int:\n        # note\n        x.y( 1 )\n        z[0](2)\n")
     assert [d["body_fingerprint"] for d in moved["definitions"]] == [d["body_fingerprint"] for d in facts["definitions"]]
     assert file_facts(b"def (:")["parse_error"].startswith("SyntaxError")
+
+
+def test_an_empty_view_still_opens():
+    import json
+    from xml.dom.minidom import parseString
+
+    from ripplework.sinks.export import empty_document
+    assert parseString(empty_document("change", "svg", "a<b")).documentElement.tagName == "svg"
+    assert json.loads(empty_document("change", "json", "r"))["nodes"] == []
+    assert json.loads(empty_document("before-after", "excalidraw", "r"))["elements"] == []
