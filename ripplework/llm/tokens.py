@@ -12,10 +12,12 @@ Edge cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows give
 
 from __future__ import annotations
 
+import array
 import json
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +33,16 @@ MEMO_WORDS = 400_000
 
 
 class WordEncoder:
-    """Ids of a tokenizer that drops white space, remembered by word.
+    """Ids of a tokenizer that drops white space and case, remembered by word.
 
-    Each word is encoded by the library, so special strings, case and Unicode forms are its business. The memory is
-    emptied when it is full; nothing depends on what it holds.
+    The library does all encoding, so special strings and Unicode forms are its business. Words of letters, and such
+    words before one mark, are sent to it many in a line, and its answer is cut where tokens end a word; if it does not
+    have as many ends as words, and for all other words, each word is sent by itself. The memory has two generations
+    and forgets the older when the younger is full; nothing depends on what it holds.
     """
 
+    MARKS = b".,;:!?"
+
     def __init__(self, path: str, limit: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -51,27 +57,73 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.lowers = any(x.get("type") == "Lowercase" for x in (described.get("normalizer") or {}).get("normalizers", []))
+        # Special strings are matched as written, so texts that may hold one keep their case.
+        self.guards = sorted({x["content"][:2].encode() for x in described["added_tokens"]})
+        suffix = described["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
         self.limit = limit
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.marks = {mark: self._one_by_one([bytes([mark])])[0] for mark in self.MARKS}
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        found = self.library.encode_batch_fast([word.decode("utf-8", "replace") for word in words], add_special_tokens=False)
+        return [array.array("I", encoding.ids).tobytes() for encoding in found]
+
+    def _in_line(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._one_by_one([word.encode() for word in words])
+        data, stops = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def _learn(self, missing: set[bytes]) -> None:
+        memo, older = self.memo, self.older
+        bases: list[str] = []
+        parts: list[tuple[bytes, int]] = []
+        others: list[bytes] = []
+        for word in missing:
+            found = older.get(word)
+            if found is not None:
+                memo[word] = found
+                continue
+            mark = word[-1]
+            base = (word[:-1] if mark in self.marks else word).decode("utf-8", "replace")
+            # Lower case may add a mark to a letter, which would join the one behind it.
+            if base.isalpha() and (base.isascii() or base.lower().isalpha()):
+                bases.append(base)
+                parts.append((word, mark))
+            else:
+                others.append(word)
+        for at in range(0, len(bases), 2048):
+            for (word, mark), ids in zip(parts[at:at + 2048], self._in_line(bases[at:at + 2048]), strict=True):
+                memo[word] = ids + self.marks[mark] if mark in self.marks else ids
+        if others:
+            memo.update(zip(others, self._one_by_one(others), strict=True))
+
+    def _words(self, data: bytes) -> list[bytes]:
+        if self.lowers and not any(guard in data for guard in self.guards):
+            data = data.lower()
+        return data.split()
 
     def known(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The memory, after every one of *words* is in it. Ids are little-endian 32-bit numbers."""
-        memo = self.memo
-        missing = list({word for word in words if word not in memo})
+        missing = set(words).difference(self.memo)
         if missing:
-            if len(memo) + len(missing) > self.limit:
-                self.memo = memo = {}
-                missing = list(set(words))
-            found = self.library.encode_batch_fast([word.decode("utf-8", "replace") for word in missing], add_special_tokens=False)
-            for word, encoding in zip(missing, found, strict=True):
-                ids = encoding.ids
-                memo[word] = b"".join([number.to_bytes(4, "little") for number in ids])
-        return memo
+            if len(self.memo) + len(missing) > self.limit:
+                self.older, self.memo = self.memo, {}
+                missing = set(words)
+            self._learn(missing)
+        return self.memo
 
     def ids(self, data: bytes) -> bytes:
-        words = data.split()
-        memo = self.known(words)
-        return b"".join([memo[word] for word in words])
+        words = self._words(data)
+        return b"".join(map(self.known(words).__getitem__, words))
 
     def counts(self, words: list[bytes]) -> list[int]:
         memo = self.known(words)
