@@ -131,9 +131,9 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_
 def _word_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for data, is_copy, positions in zip(*(batch.column(x).to_pylist() for x in ("data", "is_copy", "positions")), strict=True):
+        for data, is_copy, starts, counts in zip(*(batch.column(x).to_pylist() for x in ("data", "is_copy", "starts", "counts")), strict=True):
             words = (data or b"").split()
-            spans = substring.removed_words(len(words), is_copy, positions)
+            spans = substring.removed_words(len(words), is_copy, starts, counts)
             out.append((len(words), sum(b - a for a, b in spans), hashlib.sha256(b" ".join(substring.kept_words(words, spans))).hexdigest()))
         columns = list(zip(*out, strict=True)) or [[], [], []]
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(columns[0], pa.int64()), "n_removed": pa.array(columns[1], pa.int64()),
@@ -143,7 +143,7 @@ def _word_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 @query("op4_substring_dedup", _WINDOWS_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = substring.with_factors(table(spark, folder, "documents").select("doc_id", "text"))
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "data", "is_copy", "positions").mapInArrow(
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "data", "is_copy", "starts", "counts").mapInArrow(
         _word_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

@@ -5,23 +5,26 @@ blocks: a block holds all 13-word windows with one anchor, the least hash of the
 have equal anchors, so a window's block is known from its own words, and a document is factored against just those
 blocks that can hold a part of it. Blocks that only one document feeds are dropped before any window is written.
 
-A factor starts at a window that its block has from a smaller document and is extended greedily, window by window, as
-long as the same reference document goes on. Factors shorter than a window cannot occur, and every window across the
-border of two factors is looked up by itself, so the covered words are exactly those of duplicate windows.
+Within a document, neighbouring windows with one anchor form a phrase. A phrase that a smaller document has too, whole,
+is a factor (or part of one: factors that touch are one span). At the border of a longer match phrases differ, as the
+text around the match does; so where one anchor has several phrases, the windows of each phrase's first document are
+looked up one by one, which checks every window across a border between two factors. No other windows are written:
+those of a later document are in a phrase known whole, and an anchor with one phrase has no border. The words covered
+are exactly those of duplicate windows.
 
-Scale: anchors (one in five windows) are all that is shuffled for every document; windows are written only for documents
-and blocks shared by two. Blocks and windows are pre-aggregated to their smallest document before the shuffle, and the
-joins back are plain equi-joins that a skew split can cut, so a passage in a third of all documents is not one task's
-work. Exact copies of a whole text are one factor, found by digest, and send no windows.
+Scale: anchors (one in five windows) are all that is shuffled for every document; phrases are written only for
+documents and blocks shared by two, and single windows only at borders. All are pre-aggregated to their smallest document before
+the shuffle, and the joins back are plain equi-joins that a skew split can cut, so a passage in a third of all documents
+is not one task's work. Exact copies of a whole text are one factor, found by digest, and send nothing.
 
-Windows are compared by 64-bit hash within a block whose anchor is another 64-bit hash.
+Windows and phrases are compared by 64-bit hash within a block whose anchor is another 64-bit hash.
 
 Edge cases: a null text has no words; documents shorter than a window are never touched; a null doc_id counts as larger
 than any other; rows with equal ids are one document as far as windows go; other columns are ignored; an empty table
 gives no rows.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplework.llm.common import mixed, sliding_min, union_spans, word_spans
+from ripplework.llm.common import mixed, runs, sliding_min, union_spans, word_spans
 from ripplework.session import cut_lineage
 
 WINDOW, GRAM = 13, 5
@@ -87,29 +90,49 @@ def _anchors(window: int, gram: int):
     return each
 
 
-def _windows(window: int, gram: int):
+def _phrases(window: int, gram: int):
+    """Runs of neighbouring windows with one anchor, where that anchor is wanted."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHasher(window, gram)
         for batch in batches:
-            for row in range(batch.num_rows):
-                windows, anchors = hasher((batch.column("data")[row].as_py() or b"").split())
-                wanted = np.asarray(batch.column("anchors")[row].values)
-                at = np.flatnonzero(np.isin(anchors, wanted))
+            wanted_all = batch.column("anchors")
+            for row, (rank, text_hash, data) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("rank", "text_hash", "data")), strict=True)):
+                windows, anchors = hasher((data or b"").split())
+                first, last = runs(anchors)
+                taken = np.isin(anchors[first], np.asarray(wanted_all[row].values))
+                first, last = _split(first[taken], last[taken], window)
+                sizes = last - first + 1
+                # The first and the last window of a run hold all its words.
+                phrase = mixed(windows[first].view(np.uint64) + mixed(windows[last].view(np.uint64) + sizes.astype(np.uint64)))
+                inside = np.repeat(first - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum()) if len(sizes) else np.empty(0, np.int64)
                 yield pa.record_batch({
-                    "anchor": pa.array(anchors[at]), "window": pa.array(windows[at]), "rank": pa.array(np.full(len(at), batch.column("rank")[row].as_py(), np.int64)),
-                    "text_hash": pa.array(np.full(len(at), batch.column("text_hash")[row].as_py(), np.int64)), "pos": pa.array(at.astype(np.int64))})
+                    "anchor": pa.array(anchors[first]), "phrase": pa.array(phrase.view(np.int64)), "rank": pa.array(np.full(len(first), rank, np.int64)),
+                    "text_hash": pa.array(np.full(len(first), text_hash, np.int64)), "start": pa.array(first.astype(np.int64)),
+                    "windows": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(windows[inside]))})
 
     return each
 
 
+def _split(first: np.ndarray, last: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs cut, from their begin, to at most *most* windows; only periodic text has longer ones."""
+    parts = (last - first) // most + 1
+    if not len(parts) or parts.max() == 1:
+        return first, last
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(first, parts) + most * nth
+    return begin, np.minimum(begin + most - 1, np.repeat(last, parts))
+
+
 def _key() -> list:
     """What tells documents apart: rank (the id, nulls last) and a hash of the text, should an id be repeated."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_RANK)).alias("rank"), F.xxhash64(F.col("text")).alias("text_hash")]
 
 
 def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(rank, text_hash, is_copy, positions, references) per document that has any: where its duplicate windows start,
-    unordered, and the smallest document that has each. A copy of a smaller document's whole text lists none."""
+    """(rank, text_hash, is_copy, starts, counts, references) per document that has any: runs of duplicate windows, in no
+    order, by first window, number of windows and the smallest document that has them. A copy of a smaller document's
+    whole text lists none."""
     texts = docs.select(*_key(), F.col("text").cast("binary").alias("data"))
     ids = cut_lineage(texts.select("rank", "text_hash", F.unhex(F.md5("data")).alias("digest")))
     first = cut_lineage(ids.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1"))
@@ -120,30 +143,40 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     fed = anchors.join(blocks, "anchor", "left_semi").groupBy("rank").agg(F.collect_set("anchor").alias("anchors"))
     wanted = ids.select("rank", "text_hash").distinct().join(copies, ["rank", "text_hash"], "left_anti").join(fed, "rank")
     originals = texts.join(cut_lineage(wanted), ["rank", "text_hash"])
-    windows = cut_lineage(originals.select("rank", "text_hash", "data", "anchors").mapInArrow(
-        _windows(window, gram), "anchor long, window long, rank long, text_hash long, pos long"))
-    index = cut_lineage(windows.groupBy("anchor", "window").agg(F.min("rank").alias("reference"), F.max("rank").alias("high"))
+    phrases = cut_lineage(originals.select("rank", "text_hash", "data", "anchors").mapInArrow(
+        _phrases(window, gram), "anchor long, phrase long, rank long, text_hash long, start long, windows array<long>"))
+    first_seen = cut_lineage(phrases.groupBy("anchor", "phrase").agg(F.min("rank").alias("reference")))
+    varied = cut_lineage(first_seen.groupBy("anchor").count().where("count > 1").select("anchor", F.lit(True).alias("varies")))
+    known = cut_lineage(first_seen.join(varied, "anchor", "left"))
+    again = F.col("rank") > F.col("reference")
+    judged = cut_lineage(phrases.join(known, ["anchor", "phrase"]).where(again | F.col("varies")).select(
+        "anchor", "rank", "text_hash", "start", "reference", again.alias("again"), F.size("windows").alias("n"), F.when(~again, F.col("windows")).alias("windows")))
+    whole = judged.where("again").select("rank", "text_hash", "start", "n", "reference")
+    asked = judged.where(~F.col("again")).select("anchor", "rank", "text_hash", "start", F.posexplode("windows").alias("at", "window"))
+    index = cut_lineage(asked.groupBy("anchor", "window").agg(F.min("rank").alias("reference"), F.max("rank").alias("high"))
                         .where("reference < high").drop("high"))
-    matched = windows.join(index, ["anchor", "window"]).where(F.col("reference") < F.col("rank")).select("rank", "text_hash", "pos", "reference")
-    found = matched.groupBy("rank", "text_hash").agg(F.collect_list("pos").alias("positions"), F.collect_list("reference").alias("references"))
+    single = asked.join(index, ["anchor", "window"]).where(F.col("reference") < F.col("rank")).select(
+        "rank", "text_hash", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"), "reference")
+    found = whole.unionByName(single).groupBy("rank", "text_hash").agg(
+        *(F.collect_list(x).alias(y) for x, y in (("start", "starts"), ("n", "counts"), ("reference", "references"))))
     return found.withColumn("is_copy", F.lit(False)).unionByName(copies.withColumn("is_copy", F.lit(True)), allowMissingColumns=True)
 
 
 def with_factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """*columns* of each row of *docs*, with data (the text), is_copy and positions."""
-    found = cut_lineage(factors(docs, window, gram).select("rank", "text_hash", "is_copy", "positions"))
+    """*columns* of each row of *docs*, with data (the text), is_copy, starts and counts."""
+    found = cut_lineage(factors(docs, window, gram).select("rank", "text_hash", "is_copy", "starts", "counts"))
     keyed = docs.select(*columns, *_key(), F.col("text").cast("binary").alias("data"))
     return keyed.join(found, ["rank", "text_hash"], "left").drop("rank", "text_hash")
 
 
-def removed_words(count: int, is_copy: bool | None, positions: list[int] | None, window: int = WINDOW) -> list[tuple[int, int]]:
+def removed_words(count: int, is_copy: bool | None, starts: Sequence[int] | None, counts: Sequence[int] | None, window: int = WINDOW) -> list[tuple[int, int]]:
     """Half-open runs of words that duplicate windows cover."""
     if is_copy:
         return [(0, count)] if count >= window else []
-    if positions is None or not len(positions):
+    if starts is None or not len(starts):
         return []
-    starts = np.asarray(positions, np.int64)
-    return union_spans(starts, starts + window, count)
+    first = np.asarray(starts, np.int64)
+    return union_spans(first, first + np.asarray(counts, np.int64) + window - 1, count)
 
 
 def kept_text(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -158,10 +191,10 @@ def kept_text(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + data[at:]
 
 
-def _cleaned(data: pd.Series, is_copy: pd.Series, positions: pd.Series) -> pd.Series:
+def _cleaned(data: pd.Series, is_copy: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
     out = []
-    for text, copied, places in zip(data, is_copy, positions, strict=True):
-        spans = [] if text is None else removed_words(len(text.split()), bool(copied) and copied == copied, places)
+    for text, copied, first, many in zip(data, is_copy, starts, counts, strict=True):
+        spans = [] if text is None else removed_words(len(text.split()), bool(copied), first, many)
         out.append(None if text is None else kept_text(bytes(text), spans).decode("utf-8", "replace"))
     return pd.Series(out, dtype=object)
 
@@ -172,9 +205,9 @@ def without_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
     others = [x for x in docs.columns if x != "text"]
     packed = docs.select("doc_id", "text", F.struct(*others).alias("others"))
     found = with_factors(packed, window, gram, ("others",))
-    clean = F.pandas_udf(_cleaned, "string")(F.col("data"), F.coalesce("is_copy", F.lit(False)), F.col("positions"))
-    found = found.select("others", "is_copy", "positions", clean.alias("text"))
-    changed = F.coalesce("is_copy", F.lit(False)) | F.col("positions").isNotNull()
+    clean = F.pandas_udf(_cleaned, "string")(F.col("data"), F.coalesce("is_copy", F.lit(False)), F.col("starts"), F.col("counts"))
+    found = found.select("others", "is_copy", "starts", clean.alias("text"))
+    changed = F.coalesce("is_copy", F.lit(False)) | F.col("starts").isNotNull()
     columns = {x: F.col("others")[x] for x in others} | {"text": F.col("text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(changed, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)

@@ -97,7 +97,7 @@ def test_substring(spark, made):
         got = Counter()
         for r in substring.with_factors(docs).collect():
             words = bytes(r.data or b"").split()
-            got[r.doc_id, len(words), tuple(_spanned(words, substring.removed_words(len(words), r.is_copy, r.positions)))] += 1
+            got[r.doc_id, len(words), tuple(_spanned(words, substring.removed_words(len(words), r.is_copy, r.starts, r.counts)))] += 1
         assert got == want
 
 
