@@ -8,11 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words of a task that cannot point at anything by themselves.
-STOPWORDS = """
-a add added adding all an and are as at be but by can code fix fixed for from in into is it its
-make me my new not of on or please refactor refactoring should so some that the their them then
-there this to update updated updating use using we with would you your i thank thanks
-""".split()
+STOPWORDS = (
+    "a", "add", "added", "adding", "all", "an", "and", "are", "as", "at", "be", "but", "by", "can", "code", "fix", "fixed", "for", "from",
+    "in", "into", "is", "it", "its", "make", "me", "my", "new", "not", "of", "on", "or", "please", "refactor", "refactoring", "should",
+    "so", "some", "that", "the", "their", "them", "then", "there", "this", "to", "update", "updated", "updating", "use", "using", "we",
+    "with", "would", "you", "your", "i", "thank", "thanks",
+)
 
 # Inflections a word may lose, and the shortest stem worth keeping.
 INFLECTIONS = ("ing", "ed", "es", "s")

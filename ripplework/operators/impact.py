@@ -32,8 +32,6 @@ from ripplework.session import cut_lineage
 
 STEP = "array<struct<away:int,source:string,line:int,name:string,ordinal:int>>"
 EVIDENCES = "array<struct<kind:string,path:string,line:int,detail:string>>"
-#: Line numbers stay below this: a file is at most 5 MB.
-MAX_LINES = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -110,15 +108,18 @@ def seeds_of(symbol_changes: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------------- calls
 
 
-def attribute_callers(resolved_calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Resolved calls with ``caller``: the innermost symbol around the call, NULL at module level."""
+def attribute_callers(resolved_calls: DataFrame, symbols: DataFrame, max_bytes: int = model.MAX_FILE_BYTES) -> DataFrame:
+    """Resolved calls with ``caller``: the innermost symbol around the call, NULL at module level.
+
+    A file of at most *max_bytes* has no more lines than that.
+    """
     found = innermost_interval(
         resolved_calls.withColumn("at", F.col("line").cast("bigint")),
         symbols.select("repo", "path", F.col("qualified_name").alias("caller"),
                        F.col("line_start").cast("bigint").alias("from_line"),
                        F.col("line_end").cast("bigint").alias("to_line"), F.col("ordinal").alias("symbol_ordinal")),
         keys=["repo", "path"], point_id=["repo", "path", "ordinal"], at="at", start="from_line",
-        end="to_line", order=["symbol_ordinal"], carry=["caller"], levels=levels_for(MAX_LINES))
+        end="to_line", order=["symbol_ordinal"], carry=["caller"], levels=levels_for(max_bytes + 2))
     return found.drop("at")
 
 
@@ -190,7 +191,9 @@ KEY = ["repo", "at_path", "at_symbol"]
 
 
 def walk(direct: DataFrame, seeds: DataFrame, calls: DataFrame, max_depth: int = model.MAX_DEPTH) -> Walk:
-    """Expand *seeds* over *calls* for at most *max_depth* rings."""
+    """Expand *seeds* over *calls* for at most *max_depth* rings, at least one."""
+    if max_depth < 1:
+        raise ValueError("a walk has at least one ring")
     known = direct.select(
         "repo", F.col("path").alias("at_path"), F.col("symbol").alias("at_symbol")).distinct()
     visited = cut_lineage(known)
@@ -288,7 +291,7 @@ def add_dangling(found: Walk, dangling: DataFrame) -> Walk:
         F.lit("confirmed").alias("confidence"), F.lit(1).alias("distance"),
         F.lit("dangling_import").alias("reason"), F.array("target", "path").alias("chain"),
         F.array(evidence_of("import_statement", F.col("path"), F.col("line"), F.concat(
-            F.lit("imports "), "module", F.lit(", which this session removed")))).cast(EVIDENCES).alias("evidence"),
+            F.lit("still imports "), "module", F.lit(" although its file is gone")))).cast(EVIDENCES).alias("evidence"),
         F.struct("target", F.coalesce("line", F.lit(0)).cast("int").alias("line"), "module").alias("place"))
     recorded = found.nodes.where("symbol is null").select("repo", "path").distinct().withColumn("there", F.lit(True))
     tagged = shaped.join(recorded, ["repo", "path"], "left")

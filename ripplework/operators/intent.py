@@ -94,10 +94,9 @@ def verdicts(tasks: DataFrame, facts: DataFrame, matches: DataFrame | None = Non
         .when(F.col("related_files") < F.col("changed_files"), "scope_expansion")
         .otherwise("related"))
     note = F.when(F.col("changed_files") == 0,
-                  "The session recorded no file changes, so there is nothing to compare the task against.").when(
+                  "No file changed, so the task has nothing to be held against.").when(
         F.col("tokens") == 0,
-        "The task parses to no words beyond common filler, so no comparison is possible. "
-        "It is recorded verbatim on the session, not judged.")
+        "Only filler words were found in the task. It is kept as it was written, without a verdict.")
     return joined.select(
         "repo", "task", relatedness.alias("relatedness"), "tokens", "changed_files", "related_files",
         (F.col("tokens") - F.col("matched_tokens")).alias("unmatched_tokens"), note.alias("note"))

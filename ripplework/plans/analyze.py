@@ -24,7 +24,8 @@ from ripplework.operators.analyze import Analysis, analyze_files
 from ripplework.operators.lines import as_text
 from ripplework.session import cut_lineage
 
-HEAD_BYTES = 8192
+#: Lines that may name a package, a namespace or a module.
+HEAD_LINES = "(?m)^[^\\n]*\\b(?:package|namespace|module|mod)\\b[^\\n]*$"
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ class Report:
 
 @dataclass(frozen=True)
 class Tree:
-    """The current tree, analysed once and reused until a session makes it stale."""
+    """The current tree, analysed and linked."""
 
     files: DataFrame
     heads: DataFrame
@@ -60,13 +61,22 @@ class Tree:
 
 
 def file_heads(tree: DataFrame) -> DataFrame:
-    """The first 8192 bytes of C-family sources and ``go.mod``, as text."""
-    head = as_text(F.substring(F.col("content").cast("binary"), 1, HEAD_BYTES))
+    """The lines of C-family sources and ``go.mod`` that may name a package or module, wherever they stand."""
+    head = F.array_join(F.regexp_extract_all(as_text(F.col("content").cast("binary")), F.lit(HEAD_LINES), F.lit(0)), "\n")
     return tree.where(P.c_family_of("path").isNotNull() | (F.col("path") == "go.mod")).select("repo", "path", head.alias("head"))
 
 
-def build_tree(after: DataFrame, max_bytes: int = model.MAX_FILE_BYTES) -> Tree:
-    """Analyse and link the whole current tree."""
+def reused_analysis(after: DataFrame, known: Analysis, max_bytes: int = model.MAX_FILE_BYTES) -> Analysis:
+    """The analysis of *after*, taking from *known* what the same path of the same repository held with the same digest."""
+    stamped = after.select("repo", "path", digest(F.coalesce(F.col("content").cast("binary"), F.lit(b""))).alias("digest"))
+    same = cut_lineage(stamped.join(known.modules.select("repo", "path", "digest"), ["repo", "path", "digest"], "left_semi").select("repo", "path"))
+    fresh = analyze_files(after.join(same, ["repo", "path"], "left_anti"), max_bytes)
+    pairs = ((getattr(known, name).join(same, ["repo", "path"], "left_semi"), getattr(fresh, name)) for name in ("modules", "symbols", "imports", "calls"))
+    return Analysis(*[old.unionByName(new) for old, new in pairs])
+
+
+def build_tree(after: DataFrame, max_bytes: int = model.MAX_FILE_BYTES, known: Analysis | None = None) -> Tree:
+    """Analyse and link the whole current tree; files that *known* has with the same contents are not parsed again."""
     files = after.select("repo", "path")
     heads = cut_lineage(file_heads(after))
     configs = after.where(P.leaf("path") == "tsconfig.json").select("repo", "path", as_text(F.col("content")).alias("content"))
@@ -74,7 +84,7 @@ def build_tree(after: DataFrame, max_bytes: int = model.MAX_FILE_BYTES) -> Tree:
     files = cut_lineage(files)
     names = cut_lineage(R.module_names(files))
     index = cut_lineage(R.build_index(files, heads, names))
-    analysis = _kept(analyze_files(after, max_bytes))
+    analysis = _kept(analyze_files(after, max_bytes) if known is None else reused_analysis(after, known, max_bytes))
     candidates = R.import_candidates(analysis.imports, R.importing_names(files, names), aliases, bases)
     resolved = cut_lineage(R.resolve_candidates(candidates, index))
     return Tree(files, heads, aliases, bases, names, index, analysis, resolved)
@@ -153,11 +163,11 @@ def _limitations(tree: Tree, before: Analysis, modules: DataFrame, walk: I.Walk,
     place = lambda part, path, ordinal: [F.lit(part).alias("part"), path.alias("path"), ordinal.cast("int").alias("ordinal")]
     nothing, zero = F.lit(""), F.lit(0)
     found = walk.truncated.select("repo", *place(0, nothing, zero), F.lit(
-        f"traversal stopped at the configured depth of {max_depth} — deeper dependents are not listed").alias("text"))
+        f"the walk ended after {max_depth} ring(s), its limit; what lies further out is not listed").alias("text"))
     outside = external.groupBy("repo").agg(F.count("*").alias("k")).select("repo", *place(1, nothing, zero), F.concat(
-        F.col("k").cast("string"), F.lit(" import(s) point outside the repository; dependencies through them are not represented")).alias("text"))
+        F.col("k").cast("string"), F.lit(" import(s) lead out of the repository, and what is reached through them is unknown")).alias("text"))
     broken = modules.where("parse_error is not null").select("repo", *place(2, F.col("path"), zero), F.concat(
-        "path", F.lit(": "), "parse_error", F.lit(" — the file's symbols are unknown")).alias("text"))
+        "path", F.lit(": "), "parse_error", F.lit("; nothing is known of the symbols in it")).alias("text"))
     impacted = walk.nodes.select("repo", "path").distinct().join(modules.select("repo", "path", "status"), ["repo", "path"])
     now = G.dynamic_limitations(tree.analysis.imports, tree.analysis.calls, impacted.where("status <> 'deleted'"))
     gone = G.dynamic_limitations(before.imports, before.calls, impacted.where("status = 'deleted'"))
@@ -168,7 +178,7 @@ def _limitations(tree: Tree, before: Analysis, modules: DataFrame, walk: I.Walk,
 
 def analyze_change(before: DataFrame, after: DataFrame, changes: DataFrame, max_depth: int = model.MAX_DEPTH,
                    max_bytes: int = model.MAX_FILE_BYTES, tree: Tree | None = None) -> Report:
-    """The whole analysis; pass *tree* to reuse one that :func:`graph.graph_is_stale` allows."""
+    """The whole analysis; *tree* is :func:`build_tree` of the same *after*, if it was built before."""
     tree = build_tree(after, max_bytes) if tree is None else tree
     old = _kept(analyze_files(before, max_bytes))
     modules, symbol_changes, import_changes = (cut_lineage(frame) for frame in session_changes(tree, old, changes))
@@ -177,7 +187,7 @@ def analyze_change(before: DataFrame, after: DataFrame, changes: DataFrame, max_
     near = I.focus(symbol_changes, related, max_depth)
     nearby = lambda frame: frame.join(near, ["repo", "path"], "left_semi")
     called = I.attribute_callers(
-        R.resolve_calls(nearby(tree.analysis.calls), nearby(tree.resolved), tree.analysis.symbols), nearby(tree.analysis.symbols))
+        R.resolve_calls(nearby(tree.analysis.calls), nearby(tree.resolved), tree.analysis.symbols), nearby(tree.analysis.symbols), max_bytes)
     calls = I.walkable_calls(called, related)
     listed = changes.join(modules.select("repo", "path", F.lit(True).alias("known")), ["repo", "path"], "left").select(
         "repo", "path", "status", F.coalesce("known", F.lit(False)).alias("analysed"))

@@ -80,18 +80,21 @@ def classify_file(spark, folder):
 
 
 @query("path_fold", """
-WITH RECURSIVE link AS (
-  SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
-SELECT page_id, href, (SELECT string_agg(s, '/' ORDER BY i) FROM (
-    SELECT unnest(string_split('a/b/.' || href, '/')) AS s, generate_subscripts(string_split('a/b/.' || href, '/'), 1) AS i)
-  WHERE s NOT IN ('', '.')) AS folded FROM link WHERE NOT contains(href, '..')
-UNION ALL SELECT page_id, href, NULL AS folded FROM link WHERE contains(href, '..')""")
+WITH link AS (
+  SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
+both_ AS (SELECT page_id, href, 'down' AS way, 'a/b/.' || href AS path FROM link
+  UNION ALL SELECT page_id, href, 'up', 'a/b/../..' || '/..' || href || '/./x//../y' FROM link)
+SELECT page_id, href, way, array_to_string(list_reduce(list_filter(string_split(path, '/'), lambda s: s NOT IN ('', '.')),
+    lambda kept, s: CASE WHEN s = '..' AND len(kept) > 0 AND kept[-1] <> '..' THEN kept[:-2] ELSE list_append(kept, s) END, CAST([] AS VARCHAR[])), '/') AS folded
+FROM both_""")
 def path_fold(spark, folder):
-    """Link targets folded below a directory; links with ``..`` are listed without an answer."""
+    """Link targets folded below a directory, and the same links climbing out of it; ``..`` with nothing above it stays."""
     links = table(spark, folder, "pages").select(
         "page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
-    return links.select("page_id", "href", F.when(
-        ~F.col("href").contains(".."), P.fold_dots(F.concat(F.lit("a/b/."), "href"))).alias("folded"))
+    ways = F.explode(F.array(
+        F.struct(F.lit("down").alias("way"), F.concat(F.lit("a/b/."), "href").alias("path")),
+        F.struct(F.lit("up").alias("way"), F.concat(F.lit("a/b/../../.."), "href", F.lit("/./x//../y")).alias("path")))).alias("w")
+    return links.select("page_id", "href", ways).select("page_id", "href", "w.way", P.fold_dots("w.path").alias("folded"))
 
 
 # ----------------------------------------------------------------------------- name index
@@ -168,24 +171,30 @@ def _trade_files(spark: SparkSession, folder: str) -> DataFrame:
     return parts.unionByName(orders)
 
 
+def _numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with their place in the order: line numbers repeat, and every row is a statement of its own."""
+    from pyspark.sql import Window
+
+    within = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    return table(spark, folder, "lineitem").withColumn("nth", F.row_number().over(within))
+
+
 def _trade_imports(spark: SparkSession, folder: str) -> DataFrame:
     """Each line of an order imports its part by name and its supplier, which is no module."""
-    lines = table(spark, folder, "lineitem")
+    lines = _numbered_lines(spark, folder)
     part = lines.select(
-        _repo(), _key("sales/o", "l_orderkey").alias("path"), F.col("l_linenumber").alias("ordinal"),
+        _repo(), _key("sales/o", "l_orderkey").alias("path"), (2 * F.col("nth")).alias("ordinal"),
         F.lit("catalog").alias("module"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"),
         F.lit(None).cast("string").alias("alias"), F.lit(0).alias("level"), F.col("l_linenumber").alias("line"))
     supplier = lines.select(
-        _repo(), _key("sales/o", "l_orderkey").alias("path"), (F.col("l_linenumber") + 100).alias("ordinal"),
+        _repo(), _key("sales/o", "l_orderkey").alias("path"), (2 * F.col("nth") + 1).alias("ordinal"),
         F.concat(F.lit("vendor"), F.col("l_suppkey").cast("string")).alias("module"), F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("alias"), F.lit(0).alias("level"), (F.col("l_linenumber") + 100).alias("line"))
     return part.unionByName(supplier)
 
 
-# One order line is one import; (order, line number) is unique in small tables only, so the
-# SQL states the same rule: statements with the same place are one statement.
 TRADE_SQL = """
-WITH one AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_suppkey) AS supp FROM lineitem GROUP BY ALL),
+WITH one AS (SELECT l_orderkey, l_linenumber, l_partkey AS part, l_suppkey AS supp FROM lineitem),
 gone AS (SELECT p_partkey FROM part WHERE p_size = 2),
 imp AS (
   SELECT l_orderkey AS o, l_linenumber AS line, 'catalog' AS module, 'p' || part AS name, part,
@@ -195,16 +204,8 @@ imp AS (
 """
 
 
-def _one_line_each(imports: DataFrame) -> DataFrame:
-    lowest = F.min(F.struct(
-        F.regexp_extract(F.coalesce("name", "module"), "(\\d+)$", 1).cast("bigint").alias("n"),
-        "module", "name", "alias", "level", "line")).alias("i")
-    return imports.groupBy("repo", "path", "ordinal").agg(lowest).select(
-        "repo", "path", "ordinal", "i.module", "i.name", "i.alias", "i.level", "i.line")
-
-
 def _resolved_trade(spark: SparkSession, folder: str) -> DataFrame:
-    return R.resolve_imports(_one_line_each(_trade_imports(spark, folder)), _trade_files(spark, folder))
+    return R.resolve_imports(_trade_imports(spark, folder), _trade_files(spark, folder))
 
 
 @query("import_resolution", TRADE_SQL + """
@@ -260,22 +261,18 @@ def ts_alias_rewrite(spark, folder):
 
 
 @query("ts_resolution", """
-SELECT l_orderkey, l_linenumber, min(CASE l_returnflag
-    WHEN 'A' THEN 'web/part/p' || l_partkey || '.ts' WHEN 'N' THEN 'web/kit' || l_suppkey || '/index.tsx' END) AS target
-FROM (SELECT l_orderkey, l_linenumber, l_returnflag, l_partkey, l_suppkey, row_number() OVER (
-        PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag) AS r FROM lineitem) WHERE r = 1
-GROUP BY ALL""")
+SELECT l_orderkey, l_linenumber, CASE l_returnflag
+    WHEN 'A' THEN 'web/part/p' || l_partkey || '.ts' WHEN 'N' THEN 'web/kit' || l_suppkey || '/index.tsx' END AS target FROM lineitem""")
 def ts_resolution(spark, folder):
     """Relative specifiers to a file and to a directory, and bare ones that stay external."""
     files = table(spark, folder, "part").select(_repo(), _key("web/part/p", "p_partkey", ".ts").alias("path")).unionByName(
         table(spark, folder, "supplier").select(_repo(), _key("web/kit", "s_suppkey", "/index.tsx").alias("path")))
-    line = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag")).alias("l"))
-    part, supplier = F.col("l.l_partkey").cast("string"), F.col("l.l_suppkey").cast("string")
-    module = F.when(F.col("l.l_returnflag") == "A", F.concat(F.lit("../part/./p"), part)).when(
-        F.col("l.l_returnflag") == "N", F.concat(F.lit("../kit"), supplier)).otherwise("react")
+    line = _numbered_lines(spark, folder)
+    part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    module = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("../part/./p"), part)).when(
+        F.col("l_returnflag") == "N", F.concat(F.lit("../kit"), supplier)).otherwise("react")
     imports = line.select(
-        _repo(), _key("web/page/o", "l_orderkey", ".tsx").alias("path"), F.col("l_linenumber").alias("ordinal"),
+        _repo(), _key("web/page/o", "l_orderkey", ".tsx").alias("path"), F.col("nth").alias("ordinal"),
         module.alias("module"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("alias"),
         F.lit(0).alias("level"), F.col("l_linenumber").alias("line"), "l_orderkey", "l_linenumber")
     return R.resolve_imports(imports, files).select("l_orderkey", "l_linenumber", "target")
@@ -358,8 +355,7 @@ def nearest_purchase(spark, folder):
 # ----------------------------------------------------------------------------- call ladder
 
 LADDER_SQL = """
-WITH one AS (SELECT l_orderkey, l_linenumber, min(struct_pack(p := l_partkey, f := l_returnflag, q := l_linestatus)) AS l
-             FROM lineitem GROUP BY ALL)
+WITH one AS (SELECT l_orderkey, l_linenumber, struct_pack(p := l_partkey, f := l_returnflag, q := l_linestatus) AS l FROM lineitem)
 SELECT l_orderkey, l_linenumber,
   CASE l.f WHEN 'A' THEN 'catalog/p' || l.p || '.py' ELSE 'sales/o' || l_orderkey || '.py' END AS target,
   CASE l.f WHEN 'A' THEN CASE WHEN l.q = 'F' THEN 'price' ELSE 'gone' END WHEN 'N' THEN 'total' ELSE 'Order.check' END AS names,
@@ -370,11 +366,10 @@ FROM one"""
 @query("call_resolution_ladder", LADDER_SQL)
 def call_resolution_ladder(spark, folder):
     """Calls through an import, to a local function and through ``self``."""
-    line = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min(F.struct("l_partkey", "l_returnflag", "l_linestatus")).alias("l"))
-    part = F.concat(F.lit("p"), F.col("l.l_partkey").cast("string"))
-    flag, status = F.col("l.l_returnflag"), F.col("l.l_linestatus")
-    base = line.select(_repo(), _key("sales/o", "l_orderkey").alias("path"), F.col("l_linenumber").alias("ordinal"),
+    line = _numbered_lines(spark, folder)
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    base = line.select(_repo(), _key("sales/o", "l_orderkey").alias("path"), F.col("nth").alias("ordinal"),
                        F.col("l_linenumber").alias("line"), "l_orderkey", "l_linenumber", part.alias("part"),
                        flag.alias("flag"), status.alias("status"))
     calls = base.select("repo", "path", "ordinal", "line", F.when(
@@ -394,7 +389,7 @@ def call_resolution_ladder(spark, folder):
         "repo", "path", "s.*")
     answered = R.resolve_calls(calls, resolved, part_symbols.unionByName(order_symbols))
     return answered.select(
-        F.regexp_extract("path", "o(\\d+)", 1).cast("bigint").alias("l_orderkey"), F.col("ordinal").alias("l_linenumber"),
+        F.regexp_extract("path", "o(\\d+)", 1).cast("bigint").alias("l_orderkey"), F.col("line").alias("l_linenumber"),
         "target", F.array_join("names", ",").alias("names"), "confidence")
 
 
@@ -463,11 +458,11 @@ def graph_staleness(spark, folder):
 
 
 @query("limitations_cap", """
-WITH t AS (SELECT DISTINCT p_brand AS repo, p_name || ':' || p_size || ' calls getattr — the call target cannot be determined statically' AS text,
+WITH t AS (SELECT DISTINCT p_brand AS repo, p_name || ':' || p_size || ' calls getattr, and what that runs is only known at run time' AS text,
              p_name AS path, p_size AS line FROM part),
 r AS (SELECT repo, text, row_number() OVER (PARTITION BY repo ORDER BY path, line, text) AS rank, count(*) OVER (PARTITION BY repo) AS n FROM t)
 SELECT repo, CAST(rank AS INTEGER) AS rank, text FROM r WHERE rank <= 20
-UNION ALL SELECT DISTINCT repo, 21, 'and ' || (n - 20) || ' more limitation(s)' FROM r WHERE n > 20""")
+UNION ALL SELECT DISTINCT repo, 21, 'and ' || (n - 20) || ' further limitation(s)' FROM r WHERE n > 20""")
 def limitations_cap(spark, folder):
     """Each part as a dynamic call in its brand's repository; twenty are kept, the rest counted."""
     calls = table(spark, folder, "part").select(
@@ -645,7 +640,7 @@ def evidence_counts(spark, folder):
 @query("impact_generic_graph", """
 WITH RECURSIVE step AS (
   SELECT l_orderkey, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS called
-  FROM lineitem WHERE l_quantity > 40),
+  FROM lineitem),
 edge AS (SELECT DISTINCT l_partkey AS caller, called FROM step WHERE called IS NOT NULL AND called <> l_partkey),
 w(part, d) AS (
   SELECT p_partkey, 0 FROM part WHERE p_size = 1
@@ -655,7 +650,7 @@ def impact_generic_graph(spark, folder):
     """A part calls the next part of the same order; cycles and all, three rings."""
     from pyspark.sql import Window
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    steps = table(spark, folder, "lineitem").where("l_quantity > 40").select(
+    steps = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_partkey").alias("caller"), F.lead("l_partkey").over(line).alias("called"),
     ).where("called is not null and called <> caller")
     calls = steps.groupBy("caller", "called").agg(F.min("l_linenumber").alias("line")).select(

@@ -98,12 +98,12 @@ def concerns(spark, folder):
 
 @query("test_selection", """
 WITH c AS (SELECT 'tests/' || p_type || '/p' || p_partkey || '.py' AS path, p_size FROM part)
-SELECT path, CASE WHEN p_size <= 10 THEN 0 ELSE 1 END AS priority FROM c WHERE p_size <= 20""")
+SELECT path, CASE WHEN p_size <= 10 THEN 0 ELSE 1 END AS priority FROM c""")
 def test_selection(spark, folder):
     files = table(spark, folder, "part").select(
         F.lit("trade").alias("repo"), F.concat(F.lit("tests/"), "p_type", F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"),
         "p_size")
-    return D.select_tests(files.where("p_size <= 20"), files.where("p_size <= 10")).drop("repo")
+    return D.select_tests(files, files.where("p_size <= 10")).drop("repo")
 
 
 # --------------------------------------------------------------------------------- intent
@@ -138,17 +138,17 @@ def _tasks_and_facts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     repo = F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("repo")
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))
     tasks = turns.where("turn = 0").select(repo, F.col("text").alias("task"))
-    facts = turns.where("turn > 0").select(repo, "turn", words.alias("w")).where("size(w) >= 5").select(
-        "repo", F.concat(F.lit("src/"), F.get("w", F.lit(0)), F.lit("_t"), F.col("turn").cast("string"), F.lit(".py")).alias("path"),
-        F.array(F.array_join(F.slice("w", 2, 3), "_")).alias("symbols"), F.array(F.get("w", F.size("w") - 1)).alias("imports"))
+    facts = turns.where("turn > 0").select(repo, "turn", words.alias("w")).select(
+        "repo", F.concat(F.lit("src/"), F.coalesce(F.get("w", F.lit(0)), F.lit("")), F.lit("_t"), F.col("turn").cast("string"), F.lit(".py")).alias("path"),
+        F.array(F.array_join(F.slice("w", 2, 3), "_")).alias("symbols"), F.array_compact(F.array(F.get("w", F.size("w") - 1))).alias("imports"))
     return tasks, facts
 
 
 INTENT_SQL = f"""
 WITH task AS (SELECT 's' || conv_id AS repo, text AS task FROM conversations WHERE turn = 0),
 words AS (SELECT 's' || conv_id AS repo, turn, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM conversations WHERE turn > 0),
-fact AS (SELECT repo, 'src/' || w[1] || '_t' || turn || '.py' AS path, array_to_string(w[2:4], '_') AS symbol, w[-1] AS import
-         FROM words WHERE len(w) >= 5),
+fact AS (SELECT repo, 'src/' || coalesce(w[1], '') || '_t' || turn || '.py' AS path, array_to_string(w[2:4], '_') AS symbol, w[-1] AS import
+         FROM words),
 tok AS (SELECT DISTINCT repo, token FROM (SELECT repo, unnest(regexp_extract_all(lower(task), '[a-z0-9_]+')) AS token FROM task)
         WHERE NOT list_contains({STOP_SQL}, token)),
 form AS (SELECT t.repo, t.token, x.p, x.form FROM tok t, LATERAL (SELECT 0 AS p, token AS form

@@ -85,7 +85,8 @@ class Store:
             F.lit("stabilized").alias("status"), F.coalesce("changed_files", F.lit(0)).alias("changed_files"))
         fresh = records.join(self.sessions().select("session_id"), "session_id", "left_anti")
         fresh.write.mode("append").json(self._path("sessions"))
-        self.append_events(records.select(
+        told = self.events().where("kind = 'session_stabilised'").select("session_id")
+        self.append_events(records.join(told, "session_id", "left_anti").select(
             F.col("stabilised_at").alias("at"), F.lit("session_stabilised").alias("kind"), "session_id",
             F.to_json(F.struct("changed_files")).alias("detail")))
 

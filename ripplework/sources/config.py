@@ -70,6 +70,11 @@ class Config:
     tests: TestsSection = field(default_factory=TestsSection)
 
 
+#: Numbers that nothing works without, and strings that must say something.
+POSITIVE = ("impact_max_depth", "timeout_seconds", "max_file_size_mb", "poll_interval_seconds", "idle_poll_interval_seconds")
+TOLD = ("command",)
+
+
 def _checked(where: str, value: Any, default: Any) -> Any:
     """*value* in the type of *default*; a boolean is never a number, a number never negative."""
     if isinstance(default, tuple):
@@ -98,7 +103,13 @@ def _section(kind: type, where: str, data: Any) -> Any:
     if unknown := sorted(set(data) - known):
         raise ConfigError(f"unknown key {where}.{unknown[0]}")
     base = kind()
-    return kind(**{name: _checked(f"{where}.{name}", value, getattr(base, name)) for name, value in data.items()})
+    section = {name: _checked(f"{where}.{name}", value, getattr(base, name)) for name, value in data.items()}
+    for name, value in section.items():
+        if name in POSITIVE and not value > 0:
+            raise ConfigError(f"{where}.{name} must be above zero")
+        if name in TOLD and not (value.strip() if isinstance(value, str) else all(word.strip() for word in value)):
+            raise ConfigError(f"{where}.{name} must not be blank")
+    return kind(**section)
 
 
 def parse_config(data: dict[str, Any]) -> Config:

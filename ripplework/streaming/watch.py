@@ -1,7 +1,7 @@
 """The watch loop as one streaming query: observe, settle, analyse, write, go on.
 
-Every step that must not be done twice is keyed by the batch: Spark replays a batch after a
-failure with the same number and the same rows, so its sessions get the same identifiers.
+A session is told by its repository, its start and its end, all of which Spark gives again when it replays a batch
+after a failure, so a replay writes the same identifiers again and the store takes none twice.
 """
 
 from __future__ import annotations
@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ripplework import model
-from ripplework.operators import graph as G
-from ripplework.operators import symbols as Y
-from ripplework.plans.analyze import Report, Tree, analyze_change, build_tree
+from ripplework.operators.analyze import Analysis
+from ripplework.plans.analyze import analyze_change, build_tree
+from ripplework.session import cut_lineage
 from ripplework.sinks.store import Store
 from ripplework.streaming.quiescence import observe_stream, settled_sessions, with_state_store
 
@@ -26,38 +26,44 @@ ACTIVE_POLL, IDLE_POLL = "2 seconds", "5 seconds"
 
 @dataclass
 class Watcher:
-    """Closes sessions as they settle; the tree is analysed again only when a session made it stale.
+    """Closes sessions as they settle. Files whose contents an earlier session analysed are not parsed again.
 
-    *collect* answers (before, after, changes) for the settled repositories of a batch.
+    *collect* answers (before, after, changes) for the sessions it is given, each of another repository. A repository
+    that settles several times in a batch is closed as often, in order.
     """
 
     spark: SparkSession
     store: Store
     collect: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]]
     max_depth: int = model.MAX_DEPTH
-    tree: Tree | None = None
+    known: Analysis | None = None
 
     def close(self, states: DataFrame, batch: int) -> None:
-        settled = settled_sessions(states).withColumn(
-            "session_id", F.concat_ws("-", F.lit(f"batch{batch:08d}"), F.substring(F.sha2("repo", 256), 1, 6)))
-        if settled.isEmpty():
-            return
-        settled = settled.persist()
+        order = Window.partitionBy("repo").orderBy("settled_at", "started_at")
+        settled = settled_sessions(states).withColumn("session_id", session_id()).withColumn("turn", F.row_number().over(order)).persist()
+        try:
+            turns = settled.agg(F.max("turn")).first()[0] or 0
+            for turn in range(1, turns + 1):
+                self._close(settled.where(F.col("turn") == turn).drop("turn"))
+        finally:
+            settled.unpersist()
+
+    def _close(self, settled: DataFrame) -> None:
         before, after, changes = self.collect(settled)
-        report = analyze_change(before, after, changes, self.max_depth, tree=self.tree)
-        stale = self._stale(report)
-        if stale and self.tree is not None:
-            # The reused tree described files or imports that are no longer so: walk a fresh one.
-            report = analyze_change(before, after, changes, self.max_depth)
-        self.tree = None if stale else (self.tree or build_tree(after))
+        tree = build_tree(after, known=self.known)
+        report = analyze_change(before, after, changes, self.max_depth, tree=tree)
         self.store.write_session(settled, report)
-        settled.unpersist()
+        self.known = tree.analysis if self.known is None else self._with_others(tree.analysis, settled)
+
+    def _with_others(self, fresh: Analysis, settled: DataFrame) -> Analysis:
+        """What is known of the repositories just analysed, and what was known of all others."""
+        repos = settled.select("repo")
+        return Analysis(*[cut_lineage(getattr(self.known, name).join(repos, "repo", "left_anti").unionByName(getattr(fresh, name)))
+                          for name in ("modules", "symbols", "imports", "calls")])
+
 
-    def _stale(self, report: Report) -> bool:
-        counts = Y.import_change_counts(report.import_changes).select(
-            "repo", "path", F.col("added").alias("imports_added"), F.col("removed").alias("imports_removed"))
-        changed = report.modules.join(counts, ["repo", "path"], "left")
-        return not G.graph_is_stale(changed).where("stale").isEmpty()
+def session_id() -> Column:
+    return F.sha2(F.concat_ws("|", "repo", F.col("started_at").cast("string"), F.col("settled_at").cast("string")), 256)
 
 
 def watch_folder(watcher: Watcher, samples: str, checkpoint: str, quiet: float = model.QUIET_SECONDS,
