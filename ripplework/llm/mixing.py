@@ -9,8 +9,8 @@ than one token per child is lost to rounding.
 
 A leaf gives whole epochs of its documents and a prefix of the next one, in the order of a hash of (seed, epoch,
 document): documents as long as their running sum of tokens stays within the rest. The prefix is found as one hash per
-leaf: sums over 65 536 hash buckets (pre-aggregated before the shuffle) tell the bucket in which the rest runs out, and
-only that bucket's rows are ordered. Documents then meet their leaf's line in one join, which carries texts once.
+leaf: sums over 256 hash buckets (pre-aggregated before the shuffle) tell the bucket in which the rest runs out, the same
+again within it, and only the rows of that 65 536th part of a leaf are ordered. Documents then meet their leaf's line in one join, which carries texts once.
 
 Edge cases: nulls in the path columns are a branch of their own; a null text, or one without words, has no tokens and
 comes with its leaf's prefix (a leaf without any tokens gives nothing); repeated rows are rows, ties of the hash that
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ripplework.llm.common import WORD
 from ripplework.session import cut_lineage
 
-BUCKET_DIGITS = 4
+BUCKET_DIGITS, BUCKET_ROUNDS = 2, 2
 
 #: What the corpus is mixed to: whole-number weights of the children by level (others weigh one), the part of all tokens
 #: that is taken, and the seed of the epochs' orders.
@@ -104,14 +104,19 @@ def leaf_lines(rows: DataFrame, budgets: DataFrame, path: Sequence[str], seed: i
     *rows* holds path columns, doc_id and tokens of every document.
     """
     plan = budgets.select(*path, F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).alias("mix_full"),
-                          F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("rest"))
-    keyed = _joined(rows, plan, path).withColumn("key", epoch_key(F.col("doc_id"), seed, F.col("mix_full")))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy(*path, "bucket").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"))
+                          F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("room"))
+    keyed = cut_lineage(_joined(rows, plan.select(*path, "mix_full"), path).select(
+        *path, "tokens", epoch_key(F.col("doc_id"), seed, F.col("mix_full")).alias("key")))
+    # Digit by digit: the bucket in which the rest runs out, and what is left of it there. No leaf has more than
+    # 16 ** BUCKET_DIGITS buckets at once.
+    ends = plan.select(*path, F.lit("").alias("bucket"), "room")
     upto = Window.partitionBy(*path).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sums.withColumn("upto", F.sum("tokens").over(upto)).where(F.col("upto") > F.col("rest"))
-    ends = cut_lineage(ends.groupBy(*path).agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("room")), "bucket").alias("end"))
-                       .select(*path, F.col("end.bucket").alias("bucket"), F.col("end.room").alias("room")))
+    for digits in range(BUCKET_DIGITS, BUCKET_DIGITS * BUCKET_ROUNDS + 1, BUCKET_DIGITS):
+        inside = _joined(keyed.withColumn("bucket", F.substring("key", 1, digits - BUCKET_DIGITS)), ends, [*path, "bucket"])
+        sums = inside.groupBy(*path, F.substring("key", 1, digits).alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.first("room").alias("room"))
+        past = sums.withColumn("upto", F.sum("tokens").over(upto)).where(F.col("upto") > F.col("room"))
+        ends = cut_lineage(past.groupBy(*path).agg(F.min("bucket").alias("bucket"), F.min_by(F.col("room") - F.col("upto") + F.col("tokens"), "bucket").alias("room")))
+    keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS * BUCKET_ROUNDS))
     within = _joined(keyed, ends, [*path, "bucket"])
     running = Window.partitionBy(*path).orderBy("key")  # the rows of one bucket per leaf; ties of the key together
     lines = (within.withColumn("running", F.sum("tokens").over(running)).where(F.col("running") <= F.col("room"))
