@@ -27,20 +27,23 @@ def _bucket(at: str, seconds: float) -> Column:
 def gap_sessions(activity: DataFrame, gap: float, bucket: float = 86_400.0) -> DataFrame:
     """(repo, started, ended, observations): activity no more than *gap* seconds apart.
 
-    *activity* is (repo, at) in seconds. Sessions are found per bucket, then the few of each
-    bucket are stitched where the gap across the boundary is short enough.
+    *activity* is (repo, at) in seconds. Sessions are found per bucket. Only the first and the last of
+    a bucket can go on across its boundaries, so those are stitched and all others are done.
     """
     local = Window.partitionBy("repo", "bucket").orderBy("at")
     opened = activity.select("repo", "at", _bucket("at", max(bucket, gap))).withColumn(
         "fresh", F.coalesce((F.col("at") - F.lag("at").over(local) > gap).cast("int"), F.lit(1)))
     pieces = opened.withColumn("piece", F.sum("fresh").over(local.rowsBetween(Window.unboundedPreceding, 0))).groupBy(
         "repo", "bucket", "piece").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"))
+    edge = (F.col("piece") == 1) | (F.col("piece") == F.max("piece").over(Window.partitionBy("repo", "bucket")))
+    told = pieces.withColumn("edge", edge)
+    inner = told.where("not edge").select("repo", F.col("first").alias("started"), F.col("last").alias("ended"), F.col("n").alias("observations"))
     over = Window.partitionBy("repo").orderBy("first")
-    stitched = pieces.withColumn(
+    stitched = told.where("edge").withColumn(
         "fresh", F.coalesce((F.col("first") - F.lag("last").over(over) > gap).cast("int"), F.lit(1))).withColumn(
         "session", F.sum("fresh").over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    return stitched.groupBy("repo", "session").agg(
-        F.min("first").alias("started"), F.max("last").alias("ended"), F.sum("n").alias("observations"))
+    return inner.unionByName(stitched.groupBy("repo", "session").agg(
+        F.min("first").alias("started"), F.max("last").alias("ended"), F.sum("n").alias("observations")).drop("session"))
 
 
 def quiescence_states(observations: DataFrame, quiet: float = model.QUIET_SECONDS,
