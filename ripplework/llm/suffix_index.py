@@ -11,8 +11,9 @@ batch, so the last one pays for none.
 
 Heads met twice are candidates for long matches. The text around each candidate (the union of the 400-byte strings it
 anchors) is sent to its head, where rolling hashes of all those strings are counted: a string is a duplicate if another
-occurrence has its hash. A head with more than ``GROUP`` occurrences sends its strings' hashes as rows instead, counted
-by a pre-aggregated group-by, so no task ever holds an unbounded group. Texts that occur twice as a whole are duplicates
+occurrence has its hash. A head with more than ``GROUP`` occurrences is dealt into parts of about that size. Strings met
+twice in a part are settled there; those met once go on as rows with their hashes, and are counted over all parts by a
+pre-aggregated group-by. So no task ever holds an unbounded group, and what many share is not written out for each. Texts that occur twice as a whole are duplicates
 from end to end; one copy of each stands in the family for all.
 
 Edge cases: a null text counts as empty; texts under 400 bytes are never touched; repeated rows are copies of each
@@ -150,7 +151,8 @@ def _segments(length: int):
     return each
 
 
-_FOUND = pa.schema([("digest", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
+_FOUND = pa.schema([("digest", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("hash", pa.int64())])
+_MEMBERS = ("head", "part", "parts", "digest", "low", "segment")
 
 
 def _string_hashes(rolling: Rolling, head: bytes, segment: bytes, length: int, salt: int) -> np.ndarray:
@@ -158,33 +160,50 @@ def _string_hashes(rolling: Rolling, head: bytes, segment: bytes, length: int, s
 
 
 def _matches(length: int):
-    """Within rows sorted by head: runs of strings that occur twice. Groups are bounded, and taken some thousand rows at a time."""
+    """Within rows sorted by (head, part): runs of strings that occur twice, as (digest, low, high).
+
+    Where a head has several parts, a string met once may be in another part: it is given with its hash, and so, without
+    a place, is each string met twice. Parts are bounded, and taken some thousand rows at a time.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         rolling = Rolling()
 
-        def found(rows: list[tuple[bytes, bytes, int, bytes]]):
-            out: list[tuple[bytes, int, int]] = []
+        def found(rows: list[tuple]):
+            rows = list({(head, digest, low): (head, parts, digest, low, segment) for head, _, parts, digest, low, segment in rows}.values())
+            digests, lows, highs, open_hashes = [], [], [], []
             if rows:
-                rows = list({(head, digest, low): (head, digest, low, segment) for head, digest, low, segment in rows}.values())
-                each_row = [_string_hashes(rolling, head, segment, length, xxh64_intdigest(head)) for head, _, _, segment in rows]
-                _, where, times = np.unique(np.concatenate(each_row), return_inverse=True, return_counts=True)
-                again = times[where] > 1
+                each_row = [_string_hashes(rolling, head, segment, length, xxh64_intdigest(head)) for head, _, _, _, segment in rows]
+                own, where, times = np.unique(np.concatenate(each_row), return_inverse=True, return_counts=True)
+                again, shared = times[where] > 1, np.zeros(len(own), bool)
                 at = 0
-                for (_, digest, low, _), own in zip(rows, each_row, strict=True):
-                    out += [(digest, low + a, low + b - 1) for a, b in true_runs(again[at:at + len(own)])]
-                    at += len(own)
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            return pa.record_batch([pa.array(x, t) for x, t in zip(columns, _FOUND.types, strict=True)], schema=_FOUND)
-
-        held: list[tuple[bytes, bytes, int, bytes]] = []
+                for (_, parts, digest, low, _), hashes in zip(rows, each_row, strict=True):
+                    twice = again[at:at + len(hashes)]
+                    spans = [(low + a, low + b - 1, None) for a, b in true_runs(twice)]
+                    if parts > 1:
+                        shared[where[at:at + len(hashes)][twice]] = True
+                        once = np.flatnonzero(~twice)
+                        spans += zip((low + once).tolist(), (low + once).tolist(), hashes[once].view(np.int64).tolist(), strict=True)
+                    digests += [digest] * len(spans)
+                    for a, b, number in spans:
+                        lows.append(a)
+                        highs.append(b)
+                        open_hashes.append(number)
+                    at += len(hashes)
+                witnesses = own[shared].view(np.int64).tolist()
+                for column in (digests, lows, highs):
+                    column += [None] * len(witnesses)
+                open_hashes += witnesses
+            return pa.record_batch([pa.array(x, t) for x, t in zip((digests, lows, highs, open_hashes), _FOUND.types, strict=True)], schema=_FOUND)
+
+        held: list[tuple] = []
         for batch in batches:
-            held += zip(*(batch.column(x).to_pylist() for x in ("head", "digest", "low", "segment")), strict=True)
+            held += zip(*(batch.column(x).to_pylist() for x in _MEMBERS), strict=True)
             if len(held) > 4096:
                 keep = len(held) - 1
-                while keep and held[keep - 1][0] == held[-1][0]:
+                while keep and held[keep - 1][:2] == held[-1][:2]:
                     keep -= 1
                 yield found(held[:keep])
                 held = held[keep:]
@@ -193,20 +212,6 @@ def _matches(length: int):
     return each
 
 
-def _rows_of_hot(length: int):
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        rolling = Rolling()
-        for batch in batches:
-            for head, digest, low, segment in zip(*(batch.column(x).to_pylist() for x in ("head", "digest", "low", "segment")), strict=True):
-                hashes = _string_hashes(rolling, head, segment, length, xxh64_intdigest(head)).view(np.int64)
-                yield pa.record_batch({"hash": pa.array(hashes), "digest": pa.array([digest] * len(hashes), pa.binary()),
-                                       "low": pa.array(np.arange(low, low + len(hashes)))})
-
-    return each
-
-
 def duplicates(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
     """(digest, is_copy, starts, ends) per distinct text: runs of places where strings that occur elsewhere start."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("rank"),
@@ -225,11 +230,14 @@ def duplicates(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batches:
     one_each = texts.join(cut_lineage(places.join(copies, "digest").select("digest", "rank", "places")), ["digest", "rank"])
     segments = cut_lineage(one_each.select("digest", "data", "places").mapInArrow(
         _segments(length), "head binary, digest binary, n long, low long, segment binary"))
-    small = (segments.where(F.col("n") <= group).select("head", "digest", "low", "segment").repartition("head").sortWithinPartitions("head")
-             .mapInArrow(_matches(length), "digest binary, low long, high long"))
-    hot = segments.where(F.col("n") > group).dropDuplicates(["head", "digest", "low"]).select("head", "digest", "low", "segment").mapInArrow(_rows_of_hot(length), "hash long, digest binary, low long")
-    again = cut_lineage(hot.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    common = hot.join(again, "hash", "left_semi").select("digest", "low", F.col("low").alias("high"))
+    parts = F.ceil(F.col("n") / group).cast("long")
+    members = segments.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("digest", "low"), F.col("parts"))).select(*_MEMBERS)
+    found = cut_lineage(members.repartition("head", "part").sortWithinPartitions("head", "part")
+                        .mapInArrow(_matches(length), "digest binary, low long, high long, hash long"))
+    opened = found.where(F.col("hash").isNotNull())
+    again = cut_lineage(opened.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    common = opened.where(F.col("digest").isNotNull()).join(again, "hash", "left_semi").drop("hash")
+    small = found.where(F.col("hash").isNull()).drop("hash")
     runs_ = small.unionByName(common).groupBy("digest").agg(F.collect_list("low").alias("starts"), F.collect_list("high").alias("ends"))
     return copies.select("digest", (F.col("count") > 1).alias("is_copy")).join(runs_, "digest", "left").where(F.col("is_copy") | F.col("starts").isNotNull())
 
