@@ -19,15 +19,17 @@ from ripplework.operators import intent as N
 from ripplework.operators import maps as M
 from ripplework.operators import snapshot as S
 from ripplework.plans.analyze import Report, analyze_change, build_tree
-from ripplework.session import local_session
+from ripplework.session import cut_lineage, local_session
 from ripplework.sinks import export as E
 from ripplework.sinks.store import Store
 from ripplework.sources import git
-from ripplework.sources.config import STATE_DIRECTORY, Config, load_config
+from ripplework.sources.config import STATE_DIRECTORY, Config, ConfigError, load_config
 from ripplework.sources.runner import run_tests
 from ripplework.sources.scaffold import initialise
 from ripplework.sources.tree import at_revision, listing, raw_output, read_tree
 
+#: Readings of a tree that keeps changing before one is taken as it is.
+SNAPSHOT_TRIES = 5
 EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
 
 
@@ -50,16 +52,46 @@ class Workspace:
         read = read_tree(self.spark, str(self.root), self.repo, self.config.analysis.max_bytes, (".git", *self.config.ignore))
         return read.join(listing(self.spark, self.repo, self.root), ["repo", "path"], "left_semi")
 
-    def capture(self) -> None:
-        """Record what the tree holds now as the baseline of the next session."""
-        captured, blobs = S.capture(self.entries(), self.current(), self.config.secrets.exclude_paths, self.config.analysis.max_bytes)
-        commit = git.head_commit(self.root)
+    def token(self) -> str:
+        """A fingerprint of the tree: commit, status entries, and sizes and times of their files."""
+        rows = sorted((row["path"], row["kind"], row["original_path"]) for row in self.entries().collect())
+        entries = [(kind, path, original) for path, kind, original in rows]
+        stats = [(path, *self._stat(path)) for path, _, _ in rows]
+        shape = "head string, entries array<struct<kind:string,path:string,original_path:string>>, stats array<struct<path:string,size:long,mtime_ns:long>>"
+        frame = self.spark.createDataFrame([(git.head_commit(self.root), entries, stats)], shape)
+        return frame.select(git.state_token(F.col("head"), F.col("entries"), git.stat_signature(F.col("stats")))).first()[0]
+
+    def _stat(self, path: str) -> tuple[int | None, int | None]:
+        try:
+            found = (self.root / path).lstat()
+        except OSError:
+            return None, None
+        return found.st_size, found.st_mtime_ns
+
+    def snapshot(self, tries: int = SNAPSHOT_TRIES) -> tuple[DataFrame, DataFrame, str | None]:
+        """(entries, current tree, commit) as they were at one moment: read again until nothing changed meanwhile.
+
+        A session is analysed on its snapshot and the next baseline is taken from the same, so what is edited during
+        the analysis belongs to the next session. After *tries* the last reading is used, as an editor that never rests
+        must not keep sessions open.
+        """
+        for _ in range(max(tries, 1)):
+            before = self.token()
+            commit, entries, current = git.head_commit(self.root), cut_lineage(self.entries()), cut_lineage(self.current())
+            if self.token() == before:
+                break
+        return entries, current, commit
+
+    def capture(self, snapshot: tuple[DataFrame, DataFrame, str | None] | None = None) -> None:
+        """Record a snapshot of the tree as the baseline of the next session."""
+        entries, current, commit = snapshot or self.snapshot()
+        captured, blobs = (cut_lineage(frame) for frame in S.capture(entries, current, self.config.secrets.exclude_paths, self.config.analysis.max_bytes))
         self.store.write_state("captured", captured)
         self.store.write_state("blobs", blobs)
         self.store.write_state("baseline", self.spark.createDataFrame(
             [(self.repo, commit, commit or EMPTY_TREE, time.time())], "repo string, commit string, base_revision string, at double"))
 
-    def session(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, float] | None:
+    def session(self, snapshot: tuple[DataFrame, DataFrame, str | None]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, float] | None:
         """(before, after, changes, pre-existing, start) since the stored baseline; None when there is none."""
         baseline = self.store.state("baseline")
         if baseline is None:
@@ -71,10 +103,10 @@ class Workspace:
         globs, limit = self.config.secrets.exclude_paths, self.config.analysis.max_bytes
         from ripplework.functions.paths import is_ignored
         seen = S.git_changes(git.parse_name_status(raw("--name-status")), git.parse_numstat(raw("--numstat")), globs)
-        current = self.current()
+        entries, current, _ = snapshot
         as_text = current.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
         text_blobs = blobs.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
-        untracked = self.entries().where("kind = 'untracked'").select("repo", "path")
+        untracked = entries.where("kind = 'untracked'").select("repo", "path")
         changes = S.collect_changes(seen, captured, text_blobs, as_text, untracked, globs, limit).where(~is_ignored("path", self.config.ignore))
         old = changes.select("repo", F.coalesce("original_path", "path").alias("path"))
         committed = at_revision(self.spark, str(self.root), revision, old.unionByName(captured.select("repo", "path")).distinct())
@@ -132,9 +164,10 @@ def _intent_inputs(report: Report, repo: str, task: str, spark: SparkSession) ->
 
 
 def _analyze(work: Workspace, args: argparse.Namespace) -> int:
-    found = work.session()
+    snapshot = work.snapshot()
+    found = work.session(snapshot)
     if found is None:
-        work.capture()
+        work.capture(snapshot)
         print("Baseline recorded; run analyze again after changing something.")
         return 0
     before, after, changes, pre_existing, started = found
@@ -158,7 +191,7 @@ def _analyze(work: Workspace, args: argparse.Namespace) -> int:
     if work.config.tests.enabled:
         run = run_tests(str(work.root), work.config.tests, [row["path"] for row in tests.toLocalIterator()])
         print(f"tests: {run.status}{' — ' + run.note if run.note else ''}")
-    work.capture()
+    work.capture(snapshot)
     print(f"session {session_id}")
     return 0
 
@@ -228,7 +261,7 @@ def _watch(work: Workspace, args: argparse.Namespace) -> int:
     last, active_at, started = None, None, None
     while True:
         try:
-            token = git.status_text(work.root)
+            token = work.token()
         except git.GitError:
             time.sleep(activity.poll_interval_seconds)
             continue
@@ -273,6 +306,9 @@ def main(arguments: list[str] | None = None) -> int:
         return COMMANDS[args.command](Workspace(root, local_session("ripplework")), args)
     except KeyboardInterrupt:
         return 130
+    except (ConfigError, git.GitError) as problem:
+        print(f"{type(problem).__name__}: {problem}", file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":
