@@ -145,12 +145,12 @@ def mix(docs: DataFrame, path: Mapping[str, Column], weights: Mapping[str, Mappi
     leaves = cut_lineage(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")))
     budgets = cut_lineage(leaf_budgets(leaves, names, share, epochs, {f"node_{k}": v for k, v in weights.items()}))
     lines = cut_lineage(leaf_lines(rows, budgets, names, seed))
-    clear = docs.drop("mix_tokens", "mix_copies")
-    joined = clear.withColumns(levels)
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), size.alias("size"), *(column.alias(name) for name, column in levels.items()))
     condition = F.lit(True)
     renamed = lines.select(*(F.col(x).alias(f"mix_{x}") for x in names), "mix_full", "mix_line")
     for x in names:
-        condition = condition & joined[x].eqNullSafe(renamed[f"mix_{x}"])
-    taken = F.col("mix_full") + (epoch_key(F.col("doc_id"), seed, F.col("mix_full")) <= F.col("mix_line")).cast("long")
-    return joined.join(renamed, condition, "left").select(
-        *(joined[x] for x in clear.columns), size.alias("mix_tokens"), F.coalesce(taken, F.lit(0)).cast("long").alias("mix_copies"))
+        condition = condition & packed[x].eqNullSafe(renamed[f"mix_{x}"])
+    taken = F.col("mix_full") + (epoch_key(F.col("id"), seed, F.col("mix_full")) <= F.col("mix_line")).cast("long")
+    return packed.join(renamed, condition, "left").select(
+        *(F.col("row")[x].alias(x) for x in docs.columns if x not in ("mix_tokens", "mix_copies")),
+        F.col("size").alias("mix_tokens"), F.coalesce(taken, F.lit(0)).cast("long").alias("mix_copies"))

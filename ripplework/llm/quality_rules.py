@@ -125,4 +125,4 @@ def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
     """The rows of *docs* that ``judge`` keeps. Texts are measured again rather than shuffled to their verdicts."""
     rejected = cut_lineage(rejected_hosts(_measures(docs, host), limit))
     good = docs.where(F.pandas_udf(_passes, "boolean")(F.col("text").cast("binary")))
-    return good.join(rejected.select(F.col("host").alias("rejected_host")), F.col(host).cast("string") == F.col("rejected_host"), "left_anti")
+    return good.join(rejected, good[host].cast("string") == rejected["host"], "left_anti")

@@ -170,11 +170,12 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     rows = prints.groupBy(F.col("doc_id").alias("near_rank"), F.col("fp").alias("near_fp")).agg(F.count("*").alias("near_rows"))
     kept = cut_lineage(first.join(rows, ["near_rank", "near_fp"]))
     mark = F.pandas_udf(_prints_of(shingle), "long")
-    found = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("near_rank"), mark(F.col("text").cast("binary")).alias("near_fp")).join(kept, ["near_rank", "near_fp"])
+    found = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("near_rank"),
+                        mark(F.col("text").cast("binary")).alias("near_fp")).join(kept, ["near_rank", "near_fp"])
     single, repeated = found.where(F.col("near_rows") == 1), found.where(F.col("near_rows") > 1).dropDuplicates(["near_rank", "near_fp"])
     if kept.where(F.col("near_rows") > 1).isEmpty():
         repeated = repeated.limit(0)
-    return single.unionByName(repeated).select(*(F.col(x) for x in docs.columns))
+    return single.unionByName(repeated).select("row.*")
 
 
 def _prints_of(shingle: int):

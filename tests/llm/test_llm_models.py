@@ -103,7 +103,7 @@ def test_pipeline_stage_by_stage(spark):
     texts = [base, base, " ".join(copy[:299] + ["z"]), clean(100) + "\n" + passage, passage + "\n" + clean(100), "too short", "same same same " * 40, None, ""]
     texts += [clean(120) for _ in range(20)]
     rows = [(i, t, "en", f"src{i % 3}", len(t or ""), "extra", 1) for i, t in enumerate(texts)] + [(0, base, "en", "src0", 1, "extra", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rank string, near_fp long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node_source string, near_fp long")
     kept = corpus_pipeline.quality(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted([0, 0, 1, 2, 3, 4, *range(9, 29)]) and kept.columns == docs.columns
     single = corpus_pipeline.near_duplicates(spark, kept, "")
