@@ -32,7 +32,7 @@ from ripplework.llm.toxicity import labelled
 SAMPLE_ROWS, BUCKETS, RANK, EPOCHS, BATCH, RATE, DECAY, SEED = 10_000, 1 << 14, 8, 6, 128, 0.1, 1e-5, 17
 THRESHOLD = 0.5
 STEPS = 12
-MEMO_WORDS = 300_000
+MEMO_WORDS = 120_000
 _SYMBOLS, _DIGITS, _STOPS, _MARKS = b"#*$%&|<>{}[]\\^~=+@", b"0123456789", b".!?", b",;:'\"()-"
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))

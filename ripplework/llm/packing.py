@@ -23,12 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplework.llm.common import slices
 from ripplework.llm.tokens import WordEncoder
 
 SEQUENCE_TOKENS = 2048
 CLOSING_ID = 1
 #: Tokens of rests a task holds before it packs them (four bytes each).
-BATCH_TOKENS = 4_000_000
+BATCH_TOKENS = 2_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Sequence ids of a task start at its number times this.
 IDS_PER_TASK = 1 << 36
@@ -137,7 +138,7 @@ def _pack(path: str, sequence: int, batch_tokens: int, closing: int):
             rows = []
             return pa.record_batch({name: pa.array(column, pa.int64()) for name, column in zip(names, columns, strict=True)})
 
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in slices(whole_batch)):
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 ids = encoder.ids(data or b"") + end
                 total = len(ids) // 4

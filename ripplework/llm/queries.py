@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ripplework.llm import classifier, mixing, packing, quality_rules, simhash, substring, suffix_index, tokens, topk, toxicity
-from ripplework.llm.common import table
+from ripplework.llm.common import slices, table
 from ripplework.plans.registry import Query
 
 TOKENIZER = "word_bpe_49k.json"
@@ -129,7 +129,7 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_
 
 
 def _word_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         out = []
         for data, is_copy, starts, counts in zip(*(batch.column(x).to_pylist() for x in ("data", "is_copy", "starts", "counts")), strict=True):
             words = (data or b"").split()
@@ -182,7 +182,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 # ---- 8: suffix-array dedup -------------------------------------------------------------------------------------------
 
 def _byte_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         out = []
         for data, is_copy, starts, ends in zip(*(batch.column(x).to_pylist() for x in ("data", "is_copy", "starts", "ends")), strict=True):
             data = data or b""

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplework.llm.common import slices
 from ripplework.llm.components import components
 from ripplework.session import cut_lineage
 
@@ -51,7 +52,7 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(shingle: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = np.array([fingerprint(x or b"", shingle) for x in batch.column("data").to_pylist()], np.uint64)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64))})
 

@@ -27,16 +27,16 @@ gives no rows.
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ripplework.llm.common import mixed, runs, sliding_min, union_spans, word_spans
+from ripplework.llm.common import mixed, runs, sliding_min, slices, union_spans, word_spans
 from ripplework.session import cut_lineage
 
 WINDOW, GRAM = 13, 5
-MEMO_WORDS = 400_000
+MEMO_WORDS = 120_000
 _BASE = 0x9E3779B97F4A7C15
 LAST_RANK = (1 << 63) - 1
 
@@ -82,7 +82,7 @@ class WindowHasher:
 def _anchors(window: int, gram: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHasher(window, gram)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = [np.unique(hasher((data or b"").split())[1]) for data in batch.column("data").to_pylist()]
             ranks = np.repeat(np.asarray(batch.column("rank")), [len(x) for x in found])
             yield pa.record_batch({"anchor": pa.array(np.concatenate(found) if found else np.empty(0, np.int64)), "rank": pa.array(ranks)})
@@ -95,7 +95,7 @@ def _phrases(window: int, gram: int):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHasher(window, gram)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             wanted_all = batch.column("anchors")
             for row, (rank, text_hash, data) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("rank", "text_hash", "data")), strict=True)):
                 windows, anchors = hasher((data or b"").split())
@@ -191,12 +191,17 @@ def kept_text(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + data[at:]
 
 
-def _cleaned(data: pd.Series, is_copy: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
-    out = []
-    for text, copied, first, many in zip(data, is_copy, starts, counts, strict=True):
-        spans = [] if text is None else removed_words(len(text.split()), bool(copied), first, many)
-        out.append(None if text is None else kept_text(bytes(text), spans).decode("utf-8", "replace"))
-    return pd.Series(out, dtype=object)
+def _cleaned(window: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            texts, changed = [], []
+            for data, is_copy, starts, counts in zip(*(batch.column(x).to_pylist() for x in ("data", "is_copy", "starts", "counts")), strict=True):
+                spans = [] if data is None else removed_words(len(data.split()), is_copy, starts, counts, window)
+                texts.append(None if data is None else kept_text(data, spans).decode("utf-8", "replace"))
+                changed.append(bool(spans))
+            yield pa.record_batch({"others": batch.column("others"), "text": pa.array(texts, pa.string()), "changed": pa.array(changed)})
+
+    return each
 
 
 def without_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -204,10 +209,10 @@ def without_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
     for texts that changed. A document that loses all its words stays, empty."""
     others = [x for x in docs.columns if x != "text"]
     packed = docs.select("doc_id", "text", F.struct(*others).alias("others"))
-    found = with_factors(packed, window, gram, ("others",))
-    clean = F.pandas_udf(_cleaned, "string")(F.col("data"), F.coalesce("is_copy", F.lit(False)), F.col("starts"), F.col("counts"))
-    found = found.select("others", "is_copy", "starts", clean.alias("text"))
-    changed = F.coalesce("is_copy", F.lit(False)) | F.col("starts").isNotNull()
+    found = with_factors(packed, window, gram, ("others",)).select("others", "data", "is_copy", "starts", "counts")
+    schema = T.StructType([found.schema["others"], T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
+    found = found.mapInArrow(_cleaned(window), schema)
+    changed = F.col("changed")
     columns = {x: F.col("others")[x] for x in others} | {"text": F.col("text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(changed, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)

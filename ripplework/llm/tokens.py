@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplework.llm.common import word_spans
+from ripplework.llm.common import slices, word_spans
 from ripplework.session import cut_lineage
 
 CHUNK_BYTES = 1 << 16
 OVERLAP_BYTES = 1 << 9
 #: Words a task remembers the ids of, at most.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 120_000
 
 
 class WordEncoder:
@@ -133,7 +133,7 @@ class WordEncoder:
 def _whole(path: str, key: str = "doc_id"):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column("data").to_pylist()
             yield pa.record_batch({
                 key: batch.column(key), "n_bytes": pa.array([len(x or b"") for x in texts], pa.int64()),

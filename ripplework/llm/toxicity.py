@@ -45,7 +45,7 @@ STEM_LENGTHS = (4, 5, 6, 7)
 LEAST_SUPPORT, SUPPORT_SHARE, LEAST_LOG_ODDS, EXCEPTION_LOG_ODDS, CARRIED = 3, 0.01, 4.0, 2.0, 0.8
 WINDOW_WORDS = 12
 THRESHOLD = 0.7
-MEMO_WORDS, MEMO_STEPS = 300_000, 200_000
+MEMO_WORDS, MEMO_STEPS = 120_000, 200_000
 
 _WORD = re.compile(r"[^\W_]+(?:[@$!*][^\W_]+)*")
 _QUOTES = "\"“”„«»‹›"
