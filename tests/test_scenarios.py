@@ -119,10 +119,10 @@ def test_a_deleted_module_leaves_a_dangling_import(report):
 
 def test_limits_are_stated(report):
     texts = [r["text"] for r in report[0].limitations.where("repo = 'dynamic'").orderBy("rank").collect()]
-    assert texts[0].startswith("1 import(s) point outside")
+    assert texts[0].startswith("1 import(s) lead out of the repository")
     assert texts[1].startswith("d.py:1 imports everything by wildcard") and texts[2].startswith("d.py:4 calls getattr")
     broken = [r["text"] for r in report[0].limitations.where("repo = 'broken'").collect()]
-    assert len(broken) == 1 and "symbols are unknown" in broken[0]
+    assert len(broken) == 1 and "nothing is known of the symbols" in broken[0]
 
 
 def test_files_without_an_analyzer_are_findings_themselves(report):
