@@ -15,6 +15,7 @@ from __future__ import annotations
 import array
 import json
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,8 +95,8 @@ class WordEncoder:
                 continue
             mark = word[-1]
             base = (word[:-1] if mark in self.marks else word).decode("utf-8", "replace")
-            # Lower case may add a mark to a letter, which would join the one behind it.
-            if base.isalpha() and (base.isascii() or base.lower().isalpha()):
+            # Normal form and lower case may put a mark behind a letter, which would join the one behind it.
+            if base.isalpha() and (base.isascii() or unicodedata.normalize("NFC", base).lower().isalpha()):
                 bases.append(base)
                 parts.append((word, mark))
             else:

@@ -252,3 +252,26 @@ def test_mixing(spark, made):
         for members in by_leaf.values():
             assert max(r.mix_copies for r in members) - min(r.mix_copies for r in members) <= 1
     assert mixing.mix(made.limit(0), path, {}, 0.5, 3, 11).collect() == []
+
+
+def _letters_that_come_apart():
+    """Words whose last letter is a letter and a mark in normal form, before each mark of punctuation."""
+    letters = [*map(chr, range(0x958, 0x960)), "\u09dc", "\u09dd", "\u09df", "\u0a33", "\u0a5e", "\ufb2a", "\ufb1d", "\ufb4e", "\u0130", "\u00e9"]
+    return [base + letter + mark for letter in letters for base in ("", "\u09b9", "ab") for mark in ("", ",", ".", "!", "?", ":", ";")]
+
+
+def test_letters_that_come_apart_before_marks():
+    library, encoder = Tokenizer.from_file(PATH), tokens.WordEncoder(PATH)
+    for word in _letters_that_come_apart():
+        want = library.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.ids(word.encode()), "<u4").tolist() == want, ascii(word)
+
+
+def test_packing_and_counts_of_letters_that_come_apart(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = [*_letters_that_come_apart(), " ".join(_letters_that_come_apart())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, PATH).collect()} == {i: len(x) for i, x in enumerate(ids)}
+    for r in packing.pack_documents(docs, PATH).collect():
+        assert zlib.crc32(np.array([*ids[r.doc_id], 1][r.start:r.start + r.length], "<u4").tobytes()) == r.ids_crc32
