@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = b" \t\n\r\x0b\x0c"
 _WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
+#: What each byte becomes before words of letters and digits are split: A-Z lower case, ASCII separators blank, others themselves.
+PLAIN = bytes(x + 32 if 65 <= x <= 90 else x if x >= 0x80 or chr(x) in "0123456789abcdefghijklmnopqrstuvwxyz" else 32 for x in range(256))
+
 _MIX_1, _MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
 
@@ -39,6 +42,11 @@ def word_spans(data: bytes) -> list[tuple[int, int]]:
     return [match.span() for match in _WORD_BYTES.finditer(data)]
 
 
+def plain_words(data: bytes) -> list[bytes]:
+    """Runs of letters, digits and bytes above 0x7F, with A-Z in lower case."""
+    return data.translate(PLAIN).split()
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A one-to-one scramble of 64-bit numbers, so that their order is that of a random hash."""
     values = values ^ (values >> _SHIFT)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ripplework.llm import classifier, mixing, packing, quality_rules, simhash, substring, suffix_index, tokens, topk, toxicity
+from ripplework.llm import classifier, importance, licenses, mixing, packing, periodic, quality_rules, simhash, substring, suffix_index, tokens, topk, toxicity
 from ripplework.llm.common import slices, table
 from ripplework.plans.registry import Query
 
@@ -31,7 +32,7 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-# ---- 1: toxicity -----------------------------------------------------------------------------------------------------
+# 1: toxicity
 
 @query("op1_toxicity")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,7 +40,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, folder, "labels")))
 
 
-# ---- 2: mixing -------------------------------------------------------------------------------------------------------
+# 2: mixing
 
 MIX_EPOCHS = 2
 
@@ -85,7 +86,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", path["domain"].alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
 
 
-# ---- 3: quality rules ------------------------------------------------------------------------------------------------
+# 3: quality rules
 
 _RULES_SQL = """
 with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
@@ -114,7 +115,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
 
 
-# ---- 4: substring dedup ----------------------------------------------------------------------------------------------
+# 4: substring dedup
 
 _WINDOWS_SQL = """
 with d as (select row_number() over () as r, coalesce(doc_id, 9223372036854775807) as rank, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
@@ -147,14 +148,14 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         _word_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-# ---- 5: near duplicates ----------------------------------------------------------------------------------------------
+# 5: near duplicates
 
 @query("op5_simhash")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
-# ---- 6: token counts -------------------------------------------------------------------------------------------------
+# 6: token counts
 
 TOKEN_LIMIT = 2048
 
@@ -165,7 +166,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-# ---- 7: exact top-k --------------------------------------------------------------------------------------------------
+# 7: exact top-k
 
 _TOP_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
@@ -179,7 +180,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
-# ---- 8: suffix-array dedup -------------------------------------------------------------------------------------------
+# 8: suffix-array dedup
 
 def _byte_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole)):
@@ -205,14 +206,14 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         _byte_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-# ---- 9: packing ------------------------------------------------------------------------------------------------------
+# 9: packing
 
 @query("op9_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-# ---- 10: quality classifier ------------------------------------------------------------------------------------------
+# 10: quality classifier
 
 @query("op10_factorisation_machine")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,6 +221,78 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.score_quality(docs, classifier.train(docs, table(spark, folder, "labels")))
 
 
-# ---- all stages ------------------------------------------------------------------------------------------------------
+# 11: periodic runs
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's words: in one document of ten, those from some word on repeat a stretch that begins there."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    begin = g % n
+    period = 1 + (n - begin) // (3 + g % 8)
+    stretch = words[begin:begin + period]
+    return words[:begin] + (stretch * (-(-(n - begin) // period)))[:n - begin]
+
+
+def _more_periods(best: F.Column, run: F.Column) -> F.Column:
+    """Whether *run* comes before *best*, by exact ratio of length to period. The runs are in order of start and period."""
+    return best["length"] * run["period"] < run["length"] * best["period"]
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.with_runs(table(spark, folder, "documents"), prepare=planted)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda held, run: F.when(_more_periods(held, run), run).otherwise(held))
+    lines = F.transform("runs", lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+# 12: licences
+
+@query("op12_license_scan")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    labels = lambda *columns: F.array_join(F.array_sort(F.array_distinct(F.concat(*(F.col(x)["label"] for x in columns)))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(F.col("base")["place"]).alias("first_word"),
+        F.array_max(F.col("base")["place"]).alias("last_word"), labels("base").alias("base_labels"), labels("base", "finds").alias("labels"),
+        F.coalesce(F.array_max(F.col("finds")["share"]), F.lit(0.0)).alias("score"))
+
+
+# 13: resampling towards a target distribution
+
+_IMPORTANCE_SQL = f"""
+with crc_table as (select list(v order by i) as t from (select i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as v from (select unnest(range(256)) as i))),
+both_texts as (select true as mine, row_number() over () as r, doc_id, text from documents union all select false, row_number() over (), null, text from benchmark),
+split as (select mine, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from both_texts),
+words as (select mine, r, unnest(w) as word from split),
+coded as (select word, hex(encode(word)) as digits from (select distinct word from words)),
+hashed as (select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(digits) // 2), lambda k: ('0x' || substr(digits, 2 * k + 1, 2))::bigint)),
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % {importance.BUCKETS} as bucket from coded, crc_table),
+counted as (select mine, r, bucket, count(*) as n from words join hashed using (word) group by all),
+totals as (select coalesce(sum(n) filter (mine), 0)::bigint as s, coalesce(sum(n) filter (not mine), 0)::bigint as t from counted),
+gains as (select bucket, floor(1000 * ln(((coalesce(sum(n) filter (not mine), 0) + 1)::double * (s + {importance.BUCKETS})) / ((coalesce(sum(n) filter (mine), 0) + 1)::double * (t + {importance.BUCKETS}))))::bigint as gain
+    from counted, totals group by bucket, s, t),
+weights as (select r, sum(n * gain)::bigint as weight from counted join gains using (bucket) where mine group by r),
+scored as (select r, doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+    from split left join weights using (r) where mine),
+ranked as (select r, row_number() over (order by score desc, doc_id nulls last, r) as place, count(*) over () as n from scored where n_features >= {importance.LEAST_WORDS})
+select doc_id, n_features, weight, score, case when place <= {importance.PERCENT} * n // 100 then place end as rank from scored left join ranked using (r)"""
+
+
+@query("op13_importance_resampling", _IMPORTANCE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# all stages
 
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
