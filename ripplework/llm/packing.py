@@ -4,7 +4,9 @@ A document becomes token ids and one closing id. Full pieces of the sequence len
 in batches of bounded size within the task that encoded them, so no id crosses the network: in descending length each
 goes to the sequence of lowest estimated attention cost, ``linear * n + quadratic * n * n`` summed over its pieces, that
 still has room. A batch opens just as many sequences as its tokens need; a rest that fits nowhere whole is cut over the
-gaps. Only the last batch of a task can leave a sequence part empty; it is cut at powers of two, which need no padding.
+gaps. What lies in part-filled sequences waits for the next batch, when as many tokens again have come in; as all gaps of a
+batch are smaller than one sequence, fewer sequences wait than a sequence has tokens. Only the last batch of a task can leave
+a sequence part empty; it is cut at powers of two, which need no padding.
 
 Sequence ids are the task's number and a count within it. A lost task packs the same rows again to the same ids.
 
@@ -23,12 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplework.llm.common import slices
-from ripplework.llm.tokens import WordEncoder
+from ripplework.llm.tokens import encoder_of, small_slices
 
 SEQUENCE_TOKENS = 2048
 CLOSING_ID = 1
-#: Tokens of rests a task holds before it packs them (four bytes each).
+#: Tokens of new rests a task gathers before it packs them (four bytes each).
 BATCH_TOKENS = 2_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Sequence ids of a task start at its number times this.
@@ -87,16 +88,16 @@ def _pack(path: str, sequence: int, batch_tokens: int, closing: int):
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         number = TaskContext.get().partitionId() * IDS_PER_TASK
         rests: list[tuple[int | None, int, int, bytes]] = []
-        held, rows = 0, []
+        fresh, rows = 0, []
 
         def put(doc_id, start, ids, total, offset):
             rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, number, offset))
 
         def settle(last: bool):
-            nonlocal number, held, rests
+            nonlocal number, fresh, rests
             filled = assign([len(ids) // 4 for *_, ids in rests], sequence)
             # Part-filled sequences: all their pieces wait for the next batch, or are cut at powers of two at the end.
             waiting = []
@@ -120,7 +121,7 @@ def _pack(path: str, sequence: int, batch_tokens: int, closing: int):
                         emit(part)
                 waiting = []
             rests = [(rests[w][0], rests[w][1] + b, rests[w][2], rests[w][3][4 * b:4 * (b + n)]) for w, b, n in waiting]
-            held = sum(len(ids) // 4 for *_, ids in rests)
+            fresh = 0
 
         def emit(pieces):
             nonlocal number
@@ -138,9 +139,9 @@ def _pack(path: str, sequence: int, batch_tokens: int, closing: int):
             rows = []
             return pa.record_batch({name: pa.array(column, pa.int64()) for name, column in zip(names, columns, strict=True)})
 
-        for batch in (part for whole_batch in batches for part in slices(whole_batch)):
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                ids = encoder.ids(data or b"") + end
+        for batch in (part for whole_batch in batches for part in small_slices(whole_batch)):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("data").to_pylist()), strict=True):
+                ids = found.tobytes() + end
                 total = len(ids) // 4
                 whole = total - total % sequence
                 for start in range(0, whole, sequence):
@@ -148,8 +149,8 @@ def _pack(path: str, sequence: int, batch_tokens: int, closing: int):
                     number += 1
                 if whole < total:
                     rests.append((doc_id, whole, total, ids[4 * whole:]))
-                    held += total - whole
-                if held >= batch_tokens:
+                    fresh += total - whole
+                if fresh >= batch_tokens:
                     settle(last=False)
             yield flushed()
         settle(last=True)

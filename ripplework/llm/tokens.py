@@ -20,17 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplework.llm.common import slices, word_spans
+from ripplework.llm.common import word_spans
 from ripplework.session import cut_lineage
 
 CHUNK_BYTES = 1 << 16
 OVERLAP_BYTES = 1 << 9
-#: Words a task remembers the ids of, at most.
-MEMO_WORDS = 120_000
+#: Words in a generation of a worker's memory, some 60 MB; it has two.
+MEMO_WORDS = 250_000
+#: Bytes of text encoded together.
+SLICE_BYTES = 1 << 20
 
 
 class WordEncoder:
@@ -39,7 +42,7 @@ class WordEncoder:
     The library does all encoding, so special strings and Unicode forms are its business. Words of letters, and such
     words before one mark, are sent to it many in a line, and its answer is cut where tokens end a word; if it does not
     have as many ends as words, and for all other words, each word is sent by itself. The memory has two generations
-    and forgets the older when the younger is full; nothing depends on what it holds.
+    and forgets the older when the younger is full; nothing depends on what it holds. A worker keeps it from task to task.
     """
 
     MARKS = b".,;:!?"
@@ -67,7 +70,7 @@ class WordEncoder:
         if suffix:
             self.ends[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
         self.limit = limit
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[bytes, bytes] = {b" ": b""}
         self.older: dict[bytes, bytes] = {}
         self.marks = {mark: self._one_by_one([bytes([mark])])[0] for mark in self.MARKS}
 
@@ -76,7 +79,7 @@ class WordEncoder:
         return [array.array("I", encoding.ids).tobytes() for encoding in found]
 
     def _in_line(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
             return self._one_by_one([word.encode() for word in words])
@@ -107,38 +110,87 @@ class WordEncoder:
         if others:
             memo.update(zip(others, self._one_by_one(others), strict=True))
 
-    def _words(self, data: bytes) -> list[bytes]:
-        if self.lowers and not any(guard in data for guard in self.guards):
-            data = data.lower()
-        return data.split()
+    def _cased(self, data: bytes) -> bytes:
+        return data.lower() if self.lowers and not any(guard in data for guard in self.guards) else data
 
-    def known(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The memory, after every one of *words* is in it. Ids are little-endian 32-bit numbers."""
-        missing = set(words).difference(self.memo)
-        if missing:
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian 32-bit numbers."""
+        found = list(map(self.memo.get, words))
+        if None in found:
+            missing = {word for word, ids in zip(words, found, strict=True) if ids is None}
             if len(self.memo) + len(missing) > self.limit:
-                self.older, self.memo = self.memo, {}
+                self.older, self.memo = self.memo, {b" ": b""}
                 missing = set(words)
             self._learn(missing)
-        return self.memo
-
-    def ids(self, data: bytes) -> bytes:
-        words = self._words(data)
-        return b"".join(map(self.known(words).__getitem__, words))
+            found = list(map(self.memo.__getitem__, words))
+        return found
+
+    def ids(self, data: bytes, closing: bytes = b"") -> bytes:
+        """Ids of a text, and *closing* behind them."""
+        found = self._known(self._cased(data).split())
+        found.append(closing)
+        return b"".join(found)
+
+    def sizes(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """(ids of each different word as numbers of them, the ids, which word stands where, where each text's words end)."""
+        split = pc.ascii_split_whitespace(pa.array([self._cased(x or b"") for x in texts], pa.binary()).view(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.view(pa.binary()).to_pylist()
+        # Blanks at an end of a text leave an empty word there.
+        ids = self._known([word or b" " for word in words])
+        return np.fromiter(map(len, ids), np.int64, len(ids)) >> 2, ids, coded.indices.to_numpy(), split.offsets.to_numpy()[1:]
+
+    def count(self, texts: list[bytes | None]) -> np.ndarray:
+        """Numbers of ids of each text. Each different word is looked up once."""
+        sizes, _, which, stops = self.sizes(texts)
+        return np.diff(np.concatenate(([0], np.cumsum(sizes[which])))[np.concatenate(([0], stops))])
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """Ids of each text. Each different word is looked up once."""
+        sizes, ids, which, stops = self.sizes(texts)
+        flat, begins, per_word = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes[which]
+        ends = np.cumsum(per_word)
+        total = int(ends[-1]) if len(ends) else 0
+        found = flat[np.repeat(begins[which] - (ends - per_word), per_word) + np.arange(total)]
+        at = 0
+        for stop in np.concatenate(([0], ends))[stops].tolist():
+            yield found[at:stop]
+            at = stop
 
     def counts(self, words: list[bytes]) -> list[int]:
-        memo = self.known(words)
-        return [len(memo[word]) >> 2 for word in words]
+        return [len(ids) >> 2 for ids in self._known(words)]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """This worker's encoder."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
+def small_slices(batch: pa.RecordBatch, column: str = "data") -> Iterator[pa.RecordBatch]:
+    """A batch in slices of rows that hold about ``SLICE_BYTES`` together, or one row."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    begin = held = 0
+    for at, length in enumerate(lengths.tolist()):
+        if at > begin and held + length > SLICE_BYTES:
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+        held += length
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
 
 
 def _whole(path: str, key: str = "doc_id"):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
-        for batch in (part for whole in batches for part in slices(whole)):
+        encoder = encoder_of(path)
+        for batch in (part for whole in batches for part in small_slices(whole)):
             texts = batch.column("data").to_pylist()
-            yield pa.record_batch({
-                key: batch.column(key), "n_bytes": pa.array([len(x or b"") for x in texts], pa.int64()),
-                "n_tokens": pa.array([len(encoder.ids(x)) >> 2 if x else 0 for x in texts], pa.int64())})
+            yield pa.record_batch({key: batch.column(key), "n_bytes": pa.array([len(x or b"") for x in texts], pa.int64()),
+                                   "n_tokens": pa.array(encoder.count(texts), pa.int64())})
 
     return count
 
@@ -194,7 +246,7 @@ def _encode(path: str, chunk: int):
     schema = pa.schema([("key", pa.int64()), ("seam", pa.int64()), ("ahead", side), ("behind", side), ("last_total", pa.int64())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             rows = []
             for row in batch.to_pylist():

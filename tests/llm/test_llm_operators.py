@@ -208,6 +208,20 @@ def test_packing(spark, made, batch_tokens):
             assert any(len(x) == r.doc_tokens and zlib.crc32(np.array(x[r.start:r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for x in ids[r.doc_id])
 
 
+def test_rests_that_fill_no_sequence_are_packed_once_a_batch(monkeypatch):
+    """Rests of one token less than a sequence leave a gap in each; what waits is not packed again for every document."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    calls, assign = [], packing.assign
+    monkeypatch.setattr(packing, "assign", lambda lengths, *how: calls.append(len(lengths)) or assign(lengths, *how))
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda _: type("Task", (), {"partitionId": lambda _: 0})()))
+    text = b" ".join([b"a"] * 2046)
+    batches = (pa.record_batch({"doc_id": pa.array(range(i, i + 100), pa.int64()), "data": pa.array([text] * 100, pa.binary())}) for i in range(0, 3000, 100))
+    rows = pa.Table.from_batches(packing._pack(PATH, 2048, 2_000_000, 1)(batches))
+    assert len(calls) <= 5 and sum(rows["length"].to_pylist()) == 3000 * 2047
+
+
 def test_assign_prefers_the_cheapest_sequence():
     filled = packing.assign([60, 60, 40, 30, 10], 100)
     assert sorted(sum(x[2] for x in s) for s in filled) == [100, 100]
