@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplework.llm.tokens import encoder_of, small_slices
+from ripplework.llm.common import slices
+from ripplework.llm.tokens import encoder_of
 
 SEQUENCE_TOKENS = 2048
 CLOSING_ID = 1
@@ -139,9 +140,9 @@ def _pack(path: str, sequence: int, batch_tokens: int, closing: int):
             rows = []
             return pa.record_batch({name: pa.array(column, pa.int64()) for name, column in zip(names, columns, strict=True)})
 
-        for batch in (part for whole_batch in batches for part in small_slices(whole_batch)):
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("data").to_pylist()), strict=True):
-                ids = found.tobytes() + end
+        for batch in (part for whole_batch in batches for part in slices(whole_batch)):
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                ids = encoder.ids(data or b"", end)
                 total = len(ids) // 4
                 whole = total - total % sequence
                 for start in range(0, whole, sequence):

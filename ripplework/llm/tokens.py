@@ -20,20 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplework.llm.common import word_spans
+from ripplework.llm.common import slices, word_spans
 from ripplework.session import cut_lineage
 
 CHUNK_BYTES = 1 << 16
 OVERLAP_BYTES = 1 << 9
 #: Words in a generation of a worker's memory, some 60 MB; it has two.
 MEMO_WORDS = 250_000
-#: Bytes of text encoded together.
-SLICE_BYTES = 1 << 20
 
 
 class WordEncoder:
@@ -70,7 +67,7 @@ class WordEncoder:
         if suffix:
             self.ends[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
         self.limit = limit
-        self.memo: dict[bytes, bytes] = {b" ": b""}
+        self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.marks = {mark: self._one_by_one([bytes([mark])])[0] for mark in self.MARKS}
 
@@ -78,35 +75,39 @@ class WordEncoder:
         found = self.library.encode_batch_fast([word.decode("utf-8", "replace") for word in words], add_special_tokens=False)
         return [array.array("I", encoding.ids).tobytes() for encoding in found]
 
-    def _in_line(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    def _in_line(self, words: list[bytes]) -> list[bytes]:
+        ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
-            return self._one_by_one([word.encode() for word in words])
+            return self._one_by_one(words)
         data, stops = ids.tobytes(), (4 * ends).tolist()
         return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def _learn(self, missing: set[bytes]) -> None:
         memo, older = self.memo, self.older
-        bases: list[str] = []
-        parts: list[tuple[bytes, int]] = []
+        bases: list[bytes] = []
+        parts: list[tuple[bytes, bytes]] = []
         others: list[bytes] = []
         for word in missing:
-            found = older.get(word)
-            if found is not None:
-                memo[word] = found
+            if word in older:
+                memo[word] = older[word]
                 continue
-            mark = word[-1]
-            base = (word[:-1] if mark in self.marks else word).decode("utf-8", "replace")
+            if word.isalpha():  # ASCII letters only
+                bases.append(word)
+                parts.append((word, b""))
+                continue
+            mark = self.marks.get(word[-1], b"")
+            base = word[:-1] if mark else word
+            text = base.decode("utf-8", "replace")
             # Normal form and lower case may put a mark behind a letter, which would join the one behind it.
-            if base.isalpha() and (base.isascii() or unicodedata.normalize("NFC", base).lower().isalpha()):
+            if base.isalpha() or (text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()):
                 bases.append(base)
                 parts.append((word, mark))
             else:
                 others.append(word)
         for at in range(0, len(bases), 2048):
             for (word, mark), ids in zip(parts[at:at + 2048], self._in_line(bases[at:at + 2048]), strict=True):
-                memo[word] = ids + self.marks[mark] if mark in self.marks else ids
+                memo[word] = ids + mark
         if others:
             memo.update(zip(others, self._one_by_one(others), strict=True))
 
@@ -117,12 +118,13 @@ class WordEncoder:
         """Ids of each word, as little-endian 32-bit numbers."""
         found = list(map(self.memo.get, words))
         if None in found:
-            missing = {word for word, ids in zip(words, found, strict=True) if ids is None}
+            holes = [place for place, ids in enumerate(found) if ids is None]
+            missing = {words[place] for place in holes}
             if len(self.memo) + len(missing) > self.limit:
-                self.older, self.memo = self.memo, {b" ": b""}
-                missing = set(words)
+                self.older, self.memo = self.memo, {}
             self._learn(missing)
-            found = list(map(self.memo.__getitem__, words))
+            for place in holes:
+                found[place] = self.memo[words[place]]
         return found
 
     def ids(self, data: bytes, closing: bytes = b"") -> bytes:
@@ -131,32 +133,6 @@ class WordEncoder:
         found.append(closing)
         return b"".join(found)
 
-    def sizes(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-        """(ids of each different word as numbers of them, the ids, which word stands where, where each text's words end)."""
-        split = pc.ascii_split_whitespace(pa.array([self._cased(x or b"") for x in texts], pa.binary()).view(pa.string()))
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.view(pa.binary()).to_pylist()
-        # Blanks at an end of a text leave an empty word there.
-        ids = self._known([word or b" " for word in words])
-        return np.fromiter(map(len, ids), np.int64, len(ids)) >> 2, ids, coded.indices.to_numpy(), split.offsets.to_numpy()[1:]
-
-    def count(self, texts: list[bytes | None]) -> np.ndarray:
-        """Numbers of ids of each text. Each different word is looked up once."""
-        sizes, _, which, stops = self.sizes(texts)
-        return np.diff(np.concatenate(([0], np.cumsum(sizes[which])))[np.concatenate(([0], stops))])
-
-    def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        """Ids of each text. Each different word is looked up once."""
-        sizes, ids, which, stops = self.sizes(texts)
-        flat, begins, per_word = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes[which]
-        ends = np.cumsum(per_word)
-        total = int(ends[-1]) if len(ends) else 0
-        found = flat[np.repeat(begins[which] - (ends - per_word), per_word) + np.arange(total)]
-        at = 0
-        for stop in np.concatenate(([0], ends))[stops].tolist():
-            yield found[at:stop]
-            at = stop
-
     def counts(self, words: list[bytes]) -> list[int]:
         return [len(ids) >> 2 for ids in self._known(words)]
 
@@ -171,26 +147,14 @@ def encoder_of(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def small_slices(batch: pa.RecordBatch, column: str = "data") -> Iterator[pa.RecordBatch]:
-    """A batch in slices of rows that hold about ``SLICE_BYTES`` together, or one row."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
-    begin = held = 0
-    for at, length in enumerate(lengths.tolist()):
-        if at > begin and held + length > SLICE_BYTES:
-            yield batch.slice(begin, at - begin)
-            begin, held = at, 0
-        held += length
-    if begin < batch.num_rows:
-        yield batch.slice(begin)
-
-
 def _whole(path: str, key: str = "doc_id"):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for batch in (part for whole in batches for part in small_slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column("data").to_pylist()
-            yield pa.record_batch({key: batch.column(key), "n_bytes": pa.array([len(x or b"") for x in texts], pa.int64()),
-                                   "n_tokens": pa.array(encoder.count(texts), pa.int64())})
+            yield pa.record_batch({
+                key: batch.column(key), "n_bytes": pa.array([len(x or b"") for x in texts], pa.int64()),
+                "n_tokens": pa.array([len(encoder.ids(x)) >> 2 if x else 0 for x in texts], pa.int64())})
 
     return count
 
