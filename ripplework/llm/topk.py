@@ -11,8 +11,8 @@ r from a pivot is at least |d - r| from a query at distance d, so annuli whose b
 are never visited. The others are, in blocks of queries of one nearest pivot, and the best k of all visits win.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; repeated rows take part
-as rows of their own (a query is kept from rows with its own id); vectors of another dimension than a query's are
-not compared; ties go to the smaller id; other columns are ignored; an empty table gives no rows. Scores are exact
+as rows of their own, as queries as well (each has results of its own, and its like among its candidates); vectors of
+another dimension than a query's are not compared; ties go to the smaller id; other columns are ignored; an empty table gives no rows. Scores are exact
 up to 2 ** 53.
 """
 
@@ -74,7 +74,7 @@ def _keyed(pivots: np.ndarray, most: float, size: int):
             distances = _distances(_lifted(rows, most), pivots)
             near = distances.argmin(axis=1)
             yield pa.record_batch({"pivot": pa.array(near.astype(np.int64)), "distance": pa.array(distances[np.arange(len(rows)), near]),
-                                   "vec_id": batch.column("vec_id"), "x": batch.column("x")})
+                                   "vec_id": batch.column("vec_id"), "row": batch.column("row"), "x": batch.column("x")})
 
     return each
 
@@ -89,7 +89,7 @@ def bounds(to_pivots: np.ndarray, norms: np.ndarray, directory: list[tuple[int,
 
 
 def _plan(pivots: np.ndarray, most: float, size: int, directory: list[tuple[int, int, float, float, int]], first: int, bounded: bool):
-    """(query_id, x, near, annulus): the annuli a query is to visit, at first or (*bounded*) given its k-th best score so far."""
+    """(query_id, query_row, x, near, annulus): the annuli a query is to visit, at first or (*bounded*) given its k-th best score so far."""
     numbers = np.array([x[1] for x in directory])
     rows_in = np.array([x[4] for x in directory])
 
@@ -109,7 +109,7 @@ def _plan(pivots: np.ndarray, most: float, size: int, directory: list[tuple[int,
                 visit = early
             which, annulus = np.nonzero(visit)
             yield pa.record_batch({
-                "query_id": batch.column("vec_id").take(pa.array(which)), "x": batch.column("x").take(pa.array(which)),
+                "query_id": batch.column("vec_id").take(pa.array(which)), "query_row": batch.column("row").take(pa.array(which)), "x": batch.column("x").take(pa.array(which)),
                 "near": pa.array(to_pivots.argmin(axis=1)[which].astype(np.int64)), "annulus": pa.array(numbers[annulus].astype(np.int64))})
 
     return each
@@ -118,51 +118,53 @@ def _plan(pivots: np.ndarray, most: float, size: int, directory: list[tuple[int,
 def _visit(size: int, k: int):
     """Rows of (a block's vectors, queries): each query's k best within the block."""
 
-    def unpacked(column: pa.Array, row: int, name: str) -> tuple[np.ndarray, np.ndarray]:
-        members = column[row].values
-        return np.asarray(members.field(name)), np.asarray(members.field("x").flatten(), np.float64).reshape(-1, size)
+    def unpacked(column: pa.Array, at: int, *names: str) -> tuple[np.ndarray, ...]:
+        members = column[at].values
+        return *(np.asarray(members.field(name)) for name in names), np.asarray(members.field("x").flatten(), np.float64).reshape(-1, size)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids, rows = unpacked(batch.column("members"), row, "vec_id")
-                asked, queries = unpacked(batch.column("queries"), row, "query_id")
-                order = np.argsort(ids, kind="stable")
-                ids, scores = ids[order], queries @ rows[order].T
-                scores[asked[:, None] == ids[None, :]] = -np.inf
+            for at in range(batch.num_rows):
+                ids, numbers, rows = unpacked(batch.column("members"), at, "vec_id", "row")
+                asked, asking, queries = unpacked(batch.column("queries"), at, "query_id", "query_row")
+                order = np.lexsort((numbers, ids))
+                ids, numbers, scores = ids[order], numbers[order], queries @ rows[order].T
+                scores[asking[:, None] == numbers[None, :]] = -np.inf
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 values = np.take_along_axis(scores, best, axis=1)
                 real = np.isfinite(values)
                 yield pa.record_batch({"query_id": pa.array(np.repeat(asked, best.shape[1])[real.ravel()]),
-                                       "vec_id": pa.array(ids[best][real]), "score": pa.array(values[real].astype(np.int64))})
+                                       "query_row": pa.array(np.repeat(asking, best.shape[1])[real.ravel()]),
+                                       "vec_id": pa.array(ids[best][real]), "row": pa.array(numbers[best][real]), "score": pa.array(values[real].astype(np.int64))})
 
     return each
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id"), F.col("row"))
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int, pivots: int = PIVOTS, rings: int = RINGS, sample: int = SAMPLE, block: int = BLOCK,
            query_block: int = QUERY_BLOCK, first: int = FIRST, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows of *vectors* (vec_id, embedding) for each query row."""
-    table = cut_lineage(quantized(vectors, scale).withColumn("size", F.size("x")))
+    # Written with its numbers: a row is told from others with its id and components by them.
+    table = cut_lineage(quantized(vectors, scale).withColumn("size", F.size("x")).withColumn("row", F.monotonically_increasing_id()))
     out = table.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).where(F.lit(False))
     # Vectors of different dimension are separate searches; a table has one dimension, or a few.
     for (size,) in table.select("size").distinct().collect():
-        part = table.where(F.col("size") == size).select("vec_id", "x")
+        part = table.where(F.col("size") == size).select("vec_id", "row", "x")
         out = out.unionByName(_search(part, is_query, k, pivots, rings, sample, block, query_block, first, size))
     return out
 
 
 def _search(table: DataFrame, is_query: Column, k: int, pivots: int, rings: int, sample: int, block: int, query_block: int, first: int, size: int) -> DataFrame:
     most = float(table.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()[0])
-    drawn = np.array([row.x for row in table.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()])
+    drawn = np.array([row.x for row in table.orderBy(F.xxhash64("vec_id", "row"), "row").limit(sample).collect()])
     lifted = _lifted(drawn, most)
     centres = choose_pivots(lifted, pivots)
 
-    keyed = table.mapInArrow(_keyed(centres, most, size), "pivot long, distance double, vec_id long, x array<double>")
+    keyed = table.mapInArrow(_keyed(centres, most, size), "pivot long, distance double, vec_id long, row long, x array<double>")
     # Each pivot's distances are cut at the sample's quantiles; the last annulus is open to the outside.
     near = _distances(lifted, centres)
     owner = near.argmin(axis=1)
@@ -177,19 +179,19 @@ def _search(table: DataFrame, is_query: Column, k: int, pivots: int, rings: int,
     directory = [(row.annulus // rings, row.annulus, row.low, row.high, row.n) for row in counts.collect()]  # pivots * rings rows at most
 
     parts = F.ceil(F.col("n") / block).cast("long")
-    stored = keyed.join(counts, "annulus").withColumn("part", F.pmod(F.xxhash64("vec_id"), parts))
-    blocks = cut_lineage(stored.groupBy("annulus", "part").agg(F.collect_list(F.struct("vec_id", "x")).alias("members")))
+    stored = keyed.join(counts, "annulus").withColumn("part", F.pmod(F.xxhash64("row"), parts))
+    blocks = cut_lineage(stored.groupBy("annulus", "part").agg(F.collect_list(F.struct("vec_id", "row", "x")).alias("members")))
 
     queries = cut_lineage(table.where(is_query))
     query_parts = max(1, -(-queries.count() // query_block))
 
     def visited(planned: DataFrame) -> DataFrame:
-        grouped = planned.withColumn("part_of", F.pmod(F.xxhash64("query_id"), F.lit(query_parts))).groupBy("annulus", "part_of").agg(
-            F.collect_list(F.struct("query_id", "x")).alias("queries"))
-        return blocks.join(cut_lineage(grouped), "annulus").select("members", "queries").mapInArrow(_visit(size, k), "query_id long, vec_id long, score long")
+        grouped = planned.withColumn("part_of", F.pmod(F.xxhash64("query_row"), F.lit(query_parts))).groupBy("annulus", "part_of").agg(
+            F.collect_list(F.struct("query_id", "query_row", "x")).alias("queries"))
+        return blocks.join(cut_lineage(grouped), "annulus").select("members", "queries").mapInArrow(_visit(size, k), "query_id long, query_row long, vec_id long, row long, score long")
 
-    planned = "query_id long, x array<double>, near long, annulus long"
+    planned = "query_id long, query_row long, x array<double>, near long, annulus long"
     early = cut_lineage(_best(visited(queries.mapInArrow(_plan(centres, most, size, directory, first, False), planned)), k))
-    bound = early.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
-    late = visited(queries.join(bound.dropDuplicates(["vec_id"]), "vec_id", "left").mapInArrow(_plan(centres, most, size, directory, first, True), planned))
+    bound = early.where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").alias("bound"))
+    late = visited(queries.join(bound, "row", "left").mapInArrow(_plan(centres, most, size, directory, first, True), planned))
     return _best(early.drop("rank").unionByName(late), k).select("query_id", "rank", "vec_id", "score")

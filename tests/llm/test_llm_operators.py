@@ -231,16 +231,27 @@ def test_assign_prefers_the_cheapest_sequence():
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)] + [(400 + i, [0.5] * 8) for i in range(60)]
-    rows += [(1000, None), (1001, []), (1050, [float("nan")] * 8), (1100, [None] * 8), (None, [1.0] * 8), (1150, [0.1, 0.2]), (450, [0.25] * 8), (450, [0.25] * 8)]
-    got = [tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5, first=20, block=32).collect()]
-    good = [(i, np.floor(256 * np.array(x, np.float32).astype(float))) for i, x in rows if i is not None and x and all(v is not None and np.isfinite(v) for v in x)]
-    for query in {i for i, _ in good if i % 50 == 0} - {450}:
-        q = next(x for i, x in good if i == query)
-        best = sorted((-int(q @ x), i) for i, x in good if i != query and len(x) == len(q))[:5]
-        assert sorted((r[1], r[2], r[3]) for r in got if r[0] == query) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    rows += [(1000, None), (1001, []), (1050, [float("nan")] * 8), (1100, [None] * 8), (None, [1.0] * 8), (1150, [0.1, 0.2]), (450, [0.25] * 8), (450, [0.25] * 8), (50, rows[50][1])]
+    rows = [(*r, "clash", 7, "clash", 9) for r in rows]
+    shape = "vec_id long, embedding array<float>, row string, size int, x string, query_row int"
+    got = Counter(tuple(r) for r in topk.search(spark.createDataFrame(rows, shape), F.col("vec_id") % 50 == 0, 5, first=20, block=32).collect())
+    good = [(i, np.floor(256 * np.array(x, np.float32).astype(float))) for i, x, *_ in rows if i is not None and x and all(v is not None and np.isfinite(v) for v in x)]
+    want = Counter()
+    for at, (query, q) in enumerate(good):
+        if query % 50 == 0:
+            best = sorted((-int(q @ x), i) for n, (i, x) in enumerate(good) if n != at and len(x) == len(q))[:5]
+            want.update((query, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert got == want and max(got.values()) > 1
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_top_k_of_one_row_repeated(spark):
+    """A row that makes up most of the table, query itself, lies in blocks of bounded size and has results for each of its copies."""
+    rows = [(50, [0.5, 0.25])] * 700 + [(i, [i / 100, 0.5]) for i in range(40)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5, first=20, block=16, query_block=16)
+    assert Counter(r.query_id for r in got.collect()) == {0: 5, 50: 3500}
+
+
 def test_mixing_makes_up_shortages_among_siblings_first(spark):
     leaves = [("a", "x", 10), ("a", "y", 1000), ("b", "x", 1000), ("b", "y", 1000)]
     frame = spark.createDataFrame(leaves, "top string, low string, tokens long")
