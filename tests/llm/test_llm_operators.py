@@ -123,6 +123,45 @@ def test_suffix_index(spark, made, group):
         assert got == want
 
 
+def _removed(docs, **how):
+    found = Counter()
+    for r in suffix_index.with_duplicates(docs, **how).collect():
+        found[r.doc_id, tuple(suffix_index.removed_bytes(len(r.data or b""), r.is_copy, r.starts, r.ends))] += 1
+    return found
+
+
+def test_suffix_index_of_a_passage_in_thousands_of_documents(spark):
+    """Passages over and under the length, some grown by a shared word on either side, in documents that differ otherwise."""
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdé ") for _ in range(410))
+    texts = []
+    for i in range(1500):
+        shared = passage[:300] if i % 3 == 0 else passage
+        more = rng.choice(["", "xy", "xyz", "é", "ê"])
+        texts.append("".join(rng.choice("klmno") for _ in range(rng.randint(0, 60))) + more + shared + more + "".join(rng.choice("klmno") for _ in range(rng.randint(0, 150))))
+    data = [t.encode() for t in texts]
+    times = Counter(hash(d[i:i + 400]) for d in set(data) for i in range(len(d) - 399))
+    want = Counter()
+    for n, d in enumerate(data):
+        gone = np.zeros(len(d), np.int64)
+        for i in range(len(d) - 399):
+            if times[hash(d[i:i + 400])] > 1:
+                gone[i:i + 400] = 1
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0])))).tolist()
+        want[n, tuple(zip(edges[::2], edges[1::2]))] += 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert _removed(docs, group=64) == want
+
+
+def test_suffix_index_of_repeated_rows(spark):
+    """Rows repeated with their id, and texts without an id, are copies of each other; the rest is found as without them."""
+    rng = random.Random(6)
+    text, other = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (900, 600))
+    rows = [(7, text)] * 3000 + [(None, text)] * 3000 + [(8, "start " + other), (9, other[:450] + " end"), (None, None)]
+    found = _removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), group=4)
+    assert found == Counter({(7, ((0, 900),)): 3000, (None, ((0, 900),)): 3000, (8, ((6, 456),)): 1, (9, ((0, 450),)): 1, (None, ()): 1})
+
+
 def _simhash(data):
     words = data.translate(bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))).split()
     shingles = [b" ".join(words[i:i + 4]) for i in range(max(len(words) - 3, 1))] if words else []
