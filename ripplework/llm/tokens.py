@@ -101,6 +101,10 @@ class WordEncoder:
             text = base.decode("utf-8", "replace")
             # Normal form and lower case may put a mark behind a letter, which would join the one behind it.
             if base.isalpha() or (text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()):
+                known = memo.get(base) or older.get(base)
+                if known is not None:
+                    memo[word] = known + mark
+                    continue
                 bases.append(base)
                 parts.append((word, mark))
             else:
