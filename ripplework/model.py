@@ -83,7 +83,7 @@ LANGUAGE_SUFFIXES = (
     ("csharp", (".cs",)),
 )
 C_FAMILY = ("go", "java", "rust", "csharp")
-ANALYZER_VERSION = "1"
+ANALYZER_VERSION = "2"
 
 EVIDENCE = T.StructType([
     T.StructField("kind", T.StringType()),

@@ -75,8 +75,8 @@ def reused_analysis(after: DataFrame, known: Analysis, max_bytes: int = model.MA
     return Analysis(*[old.unionByName(new) for old, new in pairs])
 
 
-def build_tree(after: DataFrame, max_bytes: int = model.MAX_FILE_BYTES, known: Analysis | None = None) -> Tree:
-    """Analyse and link the whole current tree; files that *known* has with the same contents are not parsed again."""
+def build_tree(after: DataFrame, max_bytes: int = model.MAX_FILE_BYTES, known: Analysis | None = None, cache: str | None = None) -> Tree:
+    """Analyse and link the whole current tree; contents that *known* or the *cache* has are not parsed again."""
     files = after.select("repo", "path")
     heads = cut_lineage(file_heads(after))
     configs = after.where(P.leaf("path") == "tsconfig.json").select("repo", "path", as_text(F.col("content")).alias("content"))
@@ -84,7 +84,7 @@ def build_tree(after: DataFrame, max_bytes: int = model.MAX_FILE_BYTES, known: A
     files = cut_lineage(files)
     names = cut_lineage(R.module_names(files))
     index = cut_lineage(R.build_index(files, heads, names))
-    analysis = _kept(analyze_files(after, max_bytes) if known is None else reused_analysis(after, known, max_bytes))
+    analysis = _kept(analyze_files(after, max_bytes, cache) if known is None else reused_analysis(after, known, max_bytes))
     candidates = R.import_candidates(analysis.imports, R.importing_names(files, names), aliases, bases)
     resolved = cut_lineage(R.resolve_candidates(candidates, index))
     return Tree(files, heads, aliases, bases, names, index, analysis, resolved)
@@ -177,10 +177,10 @@ def _limitations(tree: Tree, before: Analysis, modules: DataFrame, walk: I.Walk,
 
 
 def analyze_change(before: DataFrame, after: DataFrame, changes: DataFrame, max_depth: int = model.MAX_DEPTH,
-                   max_bytes: int = model.MAX_FILE_BYTES, tree: Tree | None = None) -> Report:
+                   max_bytes: int = model.MAX_FILE_BYTES, tree: Tree | None = None, cache: str | None = None) -> Report:
     """The whole analysis; *tree* is :func:`build_tree` of the same *after*, if it was built before."""
-    tree = build_tree(after, max_bytes) if tree is None else tree
-    old = _kept(analyze_files(before, max_bytes))
+    tree = build_tree(after, max_bytes, cache=cache) if tree is None else tree
+    old = _kept(analyze_files(before, max_bytes, cache))
     modules, symbol_changes, import_changes = (cut_lineage(frame) for frame in session_changes(tree, old, changes))
     edges = G.import_edges(tree.resolved)
     related = cut_lineage(G.relationships(edges))

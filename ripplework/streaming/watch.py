@@ -37,6 +37,8 @@ class Watcher:
     collect: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]]
     max_depth: int = model.MAX_DEPTH
     known: Analysis | None = None
+    #: A folder that keeps what contents hold, by digest. With one, nothing is carried from session to session in memory.
+    cache: str | None = None
 
     def close(self, states: DataFrame, batch: int) -> None:
         order = Window.partitionBy("repo").orderBy("settled_at", "started_at")
@@ -50,10 +52,11 @@ class Watcher:
 
     def _close(self, settled: DataFrame) -> None:
         before, after, changes = self.collect(settled)
-        tree = build_tree(after, known=self.known)
-        report = analyze_change(before, after, changes, self.max_depth, tree=tree)
+        tree = build_tree(after, known=self.known, cache=self.cache)
+        report = analyze_change(before, after, changes, self.max_depth, tree=tree, cache=self.cache)
         self.store.write_session(settled, report)
-        self.known = tree.analysis if self.known is None else self._with_others(tree.analysis, settled)
+        if self.cache is None:
+            self.known = tree.analysis if self.known is None else self._with_others(tree.analysis, settled)
 
     def _with_others(self, fresh: Analysis, settled: DataFrame) -> Analysis:
         """What is known of the repositories just analysed, and what was known of all others."""
