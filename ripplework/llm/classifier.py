@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplework.llm.common import held_out
+from ripplework.llm.common import held_out, slices
 from ripplework.llm.toxicity import labelled
 
 SAMPLE_ROWS, BUCKETS, RANK, EPOCHS, BATCH, RATE, DECAY, SEED = 10_000, 1 << 14, 8, 6, 128, 0.1, 1e-5, 17
@@ -129,7 +129,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
 
 def _inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     read = Inputs()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         found = [read(data or b"") for data in batch.column("data").to_pylist()]
         yield pa.record_batch({"inputs": pa.array([x.astype("<i4").tobytes() for x, _ in found], pa.binary()),
                                "values": pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary()), "label": batch.column("label")})
@@ -137,16 +137,17 @@ def _inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
     sample = labelled(docs, labels, "quality", rows).select(F.col("text").cast("binary").alias("data"), "label")
-    found = sample.mapInArrow(_inputs, "inputs binary, values binary, label int").orderBy("label", "inputs", "values").toArrow()
-    pairs = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(b, "<f4").astype(float))
-             for a, b in zip(found.column("inputs").to_pylist(), found.column("values").to_pylist(), strict=True)]
-    return fit(pairs, (np.array(found.column("label").to_pylist(), float) > 0).astype(float))
+    found = sample.mapInArrow(_inputs, "inputs binary, values binary, label int").toArrow()
+    # In one order whatever the tasks' order was; the sample is bounded, so it is put in order here.
+    rows_read = sorted(zip(*(found.column(x).to_pylist() for x in ("label", "inputs", "values")), strict=True))
+    pairs = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(b, "<f4").astype(float)) for _, a, b in rows_read]
+    return fit(pairs, np.array([label > 0 for label, _, _ in rows_read], float))
 
 
 def _scores(machine: Machine):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Inputs()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             scores = [machine.score(*read(data or b"")) for data in batch.column("data").to_pylist()]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64())})
 

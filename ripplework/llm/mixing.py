@@ -118,8 +118,9 @@ def leaf_lines(rows: DataFrame, budgets: DataFrame, path: Sequence[str], seed: i
         ends = cut_lineage(past.groupBy(*path).agg(F.min("bucket").alias("bucket"), F.min_by(F.col("room") - F.col("upto") + F.col("tokens"), "bucket").alias("room")))
     keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS * BUCKET_ROUNDS))
     within = _joined(keyed, ends, [*path, "bucket"])
-    running = Window.partitionBy(*path).orderBy("key")  # the rows of one bucket per leaf; ties of the key together
-    lines = (within.withColumn("running", F.sum("tokens").over(running)).where(F.col("running") <= F.col("room"))
+    # Repeated rows and null ids share a key: they are summed before a task holds the keys of one bucket per leaf.
+    running = Window.partitionBy(*path).orderBy("key")
+    lines = (within.groupBy(*path, "key").agg(F.sum("tokens").alias("tokens"), F.first("room").alias("room")).withColumn("running", F.sum("tokens").over(running)).where(F.col("running") <= F.col("room"))
              .groupBy(*path).agg(F.max("key").alias("last")))
     # No row of the last bucket fits: the line is the bucket's own prefix, above all earlier keys and below its own.
     found = ends.select(*path, "bucket")

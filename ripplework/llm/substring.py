@@ -84,8 +84,9 @@ def _anchors(window: int, gram: int):
         hasher = WindowHasher(window, gram)
         for batch in (part for whole in batches for part in slices(whole)):
             found = [np.unique(hasher((data or b"").split())[1]) for data in batch.column("data").to_pylist()]
-            ranks = np.repeat(np.asarray(batch.column("rank")), [len(x) for x in found])
-            yield pa.record_batch({"anchor": pa.array(np.concatenate(found) if found else np.empty(0, np.int64)), "rank": pa.array(ranks)})
+            sizes = [len(x) for x in found]
+            yield pa.record_batch({"anchor": pa.array(np.concatenate(found) if found else np.empty(0, np.int64)),
+                                   **{key: pa.array(np.repeat(np.asarray(batch.column(key)), sizes)) for key in ("rank", "text_hash")}})
 
     return each
 
@@ -138,10 +139,10 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     first = cut_lineage(ids.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1"))
     copies = cut_lineage(ids.join(first, "digest").where(F.col("rank") > F.col("first")).select("rank", "text_hash").distinct())
 
-    anchors = texts.select("rank", "data").mapInArrow(_anchors(window, gram), "anchor long, rank long")
+    anchors = texts.mapInArrow(_anchors(window, gram), "anchor long, rank long, text_hash long")
     blocks = cut_lineage(anchors.groupBy("anchor").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("anchor"))
-    fed = anchors.join(blocks, "anchor", "left_semi").groupBy("rank").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = ids.select("rank", "text_hash").distinct().join(copies, ["rank", "text_hash"], "left_anti").join(fed, "rank")
+    fed = anchors.join(blocks, "anchor", "left_semi").groupBy("rank", "text_hash").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = fed.join(copies, ["rank", "text_hash"], "left_anti")
     originals = texts.join(cut_lineage(wanted), ["rank", "text_hash"])
     phrases = cut_lineage(originals.select("rank", "text_hash", "data", "anchors").mapInArrow(
         _phrases(window, gram), "anchor long, phrase long, rank long, text_hash long, start long, windows array<long>"))
@@ -157,8 +158,9 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                         .where("reference < high").drop("high"))
     single = asked.join(index, ["anchor", "window"]).where(F.col("reference") < F.col("rank")).select(
         "rank", "text_hash", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"), "reference")
-    found = whole.unionByName(single).groupBy("rank", "text_hash").agg(
-        *(F.collect_list(x).alias(y) for x, y in (("start", "starts"), ("n", "counts"), ("reference", "references"))))
+    # A set: a row repeated any number of times lists what one text holds.
+    found = whole.unionByName(single).groupBy("rank", "text_hash").agg(F.collect_set(F.struct("start", "n", "reference")).alias("runs")).select(
+        "rank", "text_hash", F.col("runs.start").alias("starts"), F.col("runs.n").alias("counts"), F.col("runs.reference").alias("references"))
     return found.withColumn("is_copy", F.lit(False)).unionByName(copies.withColumn("is_copy", F.lit(True)), allowMissingColumns=True)
 
 

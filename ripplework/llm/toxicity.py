@@ -6,8 +6,8 @@ one document are one witness. A stem is kept only where no longer one, or word,
 
 The lexicon is a trie. The automaton that accepts everything within a term's edit distance is intersected with it: a
 state is the set of (trie node, edits) that the letters read so far can have reached, made when first needed and
-remembered. A word outside the language dies after a few letters. Terms under five letters must match exactly, those
-under nine allow one edit, others two; stems allow one from six letters on, and any ending.
+remembered. A word outside the language dies after a few letters. Terms under four letters must match exactly, those
+under nine allow one edit, others two; stems allow one from five letters on, and any ending.
 
 A word within the edits of a term is no misspelling of it if labelled clean documents use that very word: such words are
 learned along with the terms, as exceptions.
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplework.llm.common import held_out
+from ripplework.llm.common import held_out, slices
 from ripplework.session import cut_lineage
 
 SAMPLE_ROWS, CANDIDATES, TERMS, EXCEPTIONS = 20_000, 50_000, 2_000, 100_000
@@ -63,8 +63,8 @@ def words_of(text: str) -> list[str]:
 
 def allowed_edits(length: int, stem: bool) -> int:
     if stem:
-        return int(length >= 6)
-    return 0 if length < 5 else 1 if length < 9 else 2
+        return int(length >= 5)
+    return 0 if length < 4 else 1 if length < 9 else 2
 
 
 class Automaton:
@@ -284,7 +284,7 @@ class Model:
 def _features_of(terms: list[str], exceptions: frozenset[str]):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(terms, exceptions)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = np.array([features(text or "", automaton) for text in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.record_batch([batch.column("toxic"), *(pa.array(found[:, j]) for j in range(len(FEATURES)))], names=["toxic", *FEATURES])
 
@@ -297,7 +297,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataF
     usable = usable.where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     drawn = usable.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return cut_lineage(texts.join(F.broadcast(drawn), "id").select("text", "label"))  # at most *rows* pairs of numbers
+    found = texts.join(F.broadcast(drawn), "id")  # at most *rows* pairs of numbers
+    # An id on many rows teaches by one of its texts, chosen by hash, so the bound holds for rows as well.
+    one = found.groupBy("id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("one"))
+    return cut_lineage(one.select("one.text", "one.label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -325,7 +328,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def _scores(model: Model):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(model.terms, model.exceptions)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = np.array([features(text or "", automaton) for text in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             score = 1 / (1 + np.exp(-np.clip(model.weights[0] + found @ model.weights[1:], -30, 30)))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(score)})

@@ -85,6 +85,20 @@ def test_models_without_labels_and_on_awkward_rows(spark):
     assert toxicity.score_toxicity(docs.limit(0), toxicity.Model([], frozenset(), toxicity.PRIOR_WEIGHTS)).count() == 0
 
 
+def test_an_id_on_many_rows_teaches_by_one_text(spark):
+    rows = [(0, "a"), (1, "b")] * 2000 + [(0, f"text {i}") for i in range(2000)] + [(1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(0, 0, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.labelled(docs, known, "toxic", 10).collect()
+    assert sorted(r.label for r in got) == [0, 1]
+    assert sorted(got) == sorted(toxicity.labelled(docs.repartition(7), known, "toxic", 10).collect())
+
+
+def test_short_terms_may_be_misspelled():
+    automaton = toxicity.Automaton(["scum", "bad"], ["scam"])
+    assert [automaton.edits(w) for w in ("scum", "scumm", "skum", "bad", "scam", "bat", "sccumm")] == [0, 1, 1, 0, -1, -1, -1]
+
+
 @needs_data
 @pytest.mark.parametrize("name, label, least", [("op1_toxicity", "toxic", 0.85), ("op10_factorisation_machine", "quality", 0.95)])
 def test_held_out_accuracy(spark, name, label, least):

@@ -101,6 +101,20 @@ def test_substring(spark, made):
         assert got == want
 
 
+def test_substring_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(3)
+    passage = " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 900)) for _ in range(60))
+    rows = [(1, passage)] + [(5, passage + " and more")] * 4000 + [(None, f"n{i} " + passage) for i in range(4000)] + [(None, "gone " + passage)] * 4000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    found = substring.factors(docs).collect()
+    assert len(found) == 4002 and max(len(r.starts) for r in found) <= 60
+    got = Counter()
+    for r in substring.with_factors(docs).collect():
+        words = bytes(r.data).split()
+        got[r.doc_id, len(words), len(_spanned(words, substring.removed_words(len(words), r.is_copy, r.starts, r.counts)))] += 1
+    assert set(got) == {(1, 60, 60), (5, 62, 2), (None, 61, 1)} and sum(got.values()) == len(rows)
+
+
 @pytest.mark.parametrize("group", [256, 2])
 def test_suffix_index(spark, made, group):
     for docs in _both(spark, made):
@@ -318,6 +332,22 @@ def test_mixing(spark, made):
     assert mixing.mix(made.limit(0), path, {}, 0.5, 3, 11).collect() == []
 
 
+def test_mixing_of_repeated_rows_and_null_ids(spark):
+    rows = [(i, "a b c") for i in range(300)] + [(7, "a b")] * 4000 + [(None, f"x{i} y") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).repartition(16)
+    for share in (0.02, 0.3, 0.6, 0.9):
+        got = mixing.mix(docs, {"source": F.col("source")}, {}, share, 1, 11).collect()
+        total, taken = sum(r.mix_tokens for r in got), sum(r.mix_tokens * r.mix_copies for r in got)
+        groups = defaultdict(set)
+        sizes = Counter()
+        for r in got:
+            groups[r.doc_id].add(r.mix_copies)
+            sizes[r.doc_id] += r.mix_tokens
+        assert len(got) == len(rows) and taken <= share * total and all(len(x) == 1 for x in groups.values())
+        # Keys are taken in one order until the next one doesn't fit, so the rest is less than the largest left out.
+        assert share * total - taken < max(n for key, n in sizes.items() if groups[key] == {0})
+
+
 def _letters_that_come_apart():
     """Words whose last letter is a letter and a mark in normal form, before each mark of punctuation."""
     letters = [*map(chr, range(0x958, 0x960)), "\u09dc", "\u09dd", "\u09df", "\u0a33", "\u0a5e", "\ufb2a", "\ufb1d", "\ufb4e", "\u0130", "\u00e9"]
