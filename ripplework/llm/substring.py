@@ -139,7 +139,8 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     first = cut_lineage(ids.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1"))
     copies = cut_lineage(ids.join(first, "digest").where(F.col("rank") > F.col("first")).select("rank", "text_hash").distinct())
 
-    anchors = texts.mapInArrow(_anchors(window, gram), "anchor long, rank long, text_hash long")
+    # Hashed once, read twice.
+    anchors = cut_lineage(texts.mapInArrow(_anchors(window, gram), "anchor long, rank long, text_hash long"))
     blocks = cut_lineage(anchors.groupBy("anchor").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("anchor"))
     fed = anchors.join(blocks, "anchor", "left_semi").groupBy("rank", "text_hash").agg(F.collect_set("anchor").alias("anchors"))
     wanted = fed.join(copies, ["rank", "text_hash"], "left_anti")
