@@ -1,4 +1,4 @@
-"""Command line: init, status, sessions, graph, analyze, intent, impact, export, watch."""
+"""Command line: init, status, sessions, show, graph, analyze, intent, impact, export, watch."""
 
 from __future__ import annotations
 
@@ -18,7 +18,8 @@ from ripplework.operators import impact as I
 from ripplework.operators import intent as N
 from ripplework.operators import maps as M
 from ripplework.operators import snapshot as S
-from ripplework.plans.analyze import Report, analyze_change, build_tree
+from ripplework.plans.analyze import analyze_change, build_tree
+from ripplework.plans.delivery import load_delivery
 from ripplework.session import cut_lineage, local_session
 from ripplework.sinks import export as E
 from ripplework.sinks.store import Store
@@ -89,7 +90,15 @@ class Workspace:
         self.store.write_state("captured", captured)
         self.store.write_state("blobs", blobs)
         self.store.write_state("baseline", self.spark.createDataFrame(
-            [(self.repo, commit, commit or EMPTY_TREE, time.time())], "repo string, commit string, base_revision string, at double"))
+            [(self.repo, commit, commit or EMPTY_TREE, time.time())], "repo string, commit string, base_revision string, at double").join(
+                S.entry_counts(entries), "repo", "left"))
+
+    def baseline_artifacts(self) -> dict[str, DataFrame]:
+        """What the session began from, as it is kept with the session; read before the next baseline replaces it."""
+        base = self.store.state("baseline")
+        for name in ("tracked_changes", "untracked_files"):
+            base = base.withColumn(name, F.coalesce(F.col(name), F.lit(0)) if name in base.columns else F.lit(None).cast("bigint"))
+        return {"baseline": cut_lineage(base), "captured": cut_lineage(self.store.state("captured"))}
 
     def session(self, snapshot: tuple[DataFrame, DataFrame, str | None]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, float] | None:
         """(before, after, changes, pre-existing, start) since the stored baseline; None when there is none."""
@@ -136,12 +145,40 @@ def _status(work: Workspace, args: argparse.Namespace) -> int:
     counts = S.entry_counts(work.entries()).first()
     print(f"{work.root}: {git.head_commit(work.root) or 'no commit yet'}{', git is busy' if git.is_busy(work.root) else ''}")
     print(f"{counts['tracked_changes'] if counts else 0} tracked change(s), {counts['untracked_files'] if counts else 0} untracked file(s)")
+    session = work.store.latest()
+    if session is not None:
+        row = load_delivery(work.store, session).summaries.first()
+        print(f"last session {session}")
+        for name in ("changes", "symbols", "impact"):
+            print(f"  {name}: {row[name]}")
     return 0
 
 
 def _sessions(work: Workspace, args: argparse.Namespace) -> int:
-    for row in work.store.listing().toLocalIterator():
-        print(f"{row['session_id']}  {row['started_at']}  {row['changed_files']} file(s)  {row['status']}")
+    lines = work.store.listing().join(load_delivery(work.store).summaries, "session_id").orderBy(F.desc("started_at"), "session_id")
+    for row in lines.toLocalIterator():
+        print(f"{row['session_id']}  {row['started_at']}  {row['status']}  {row['changes']}; {row['symbols']}; {row['impact']}")
+    for row in work.store.damaged().orderBy("file").toLocalIterator():
+        print(f"not readable: {row['file']} ({row['why']})", file=sys.stderr)
+    return 0
+
+
+def _show(work: Workspace, args: argparse.Namespace) -> int:
+    """A stored session: its files, what each of them led to, and what a reader should know."""
+    session = work.chosen(args.session)
+    if session is None:
+        print("No session recorded.", file=sys.stderr)
+        return 1
+    delivery = load_delivery(work.store, session)
+    for row in delivery.files.orderBy("path").toLocalIterator():
+        print(f"  {row['status']:<14} {row['path']}  {row['detail']}")
+    for row in delivery.roots.orderBy("place", "root").toLocalIterator():
+        print(f"  {row['root']} led to {row['findings']} finding(s)")
+    if args.file:
+        for row in D.findings_from(delivery.findings, F.lit(args.file)).orderBy("distance", "path", "symbol").toLocalIterator():
+            print(f"    {row['path']}{'#' + row['symbol'] if row['symbol'] else ''}  {row['reason']}")
+    for row in delivery.concerns.orderBy("position", "title").toLocalIterator():
+        print(f"  {row['severity']}: {row['title']} — {row['detail']}")
     return 0
 
 
@@ -154,13 +191,28 @@ def _graph(work: Workspace, args: argparse.Namespace) -> int:
     return 0
 
 
-def _intent_inputs(report: Report, repo: str, task: str, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    symbols = report.symbol_changes.groupBy("repo", "path").agg(F.collect_set("qualified_name").alias("symbols"))
-    imports = report.import_changes.groupBy("repo", "path").agg(F.collect_set("rendered").alias("imports"))
+def _verdict(work: Workspace, task: str, changes: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """The task held against every changed file, its symbols and imports: one row."""
+    named = symbols.groupBy("repo", "path").agg(F.collect_set("qualified_name").alias("symbols"))
+    brought = imports.groupBy("repo", "path").agg(F.collect_set("rendered").alias("imports"))
     none = F.array().cast("array<string>")
-    facts = report.changes.select("repo", "path").join(symbols, ["repo", "path"], "left").join(imports, ["repo", "path"], "left").select(
+    facts = changes.select("repo", "path").join(named, ["repo", "path"], "left").join(brought, ["repo", "path"], "left").select(
         "repo", "path", F.coalesce("symbols", none).alias("symbols"), F.coalesce("imports", none).alias("imports"))
-    return spark.createDataFrame([(repo, task)], "repo string, task string"), facts
+    return cut_lineage(N.verdicts(work.spark.createDataFrame([(work.repo, task)], "repo string, task string"), facts))
+
+
+def _test_run(work: Workspace, report_nodes: DataFrame, changes: DataFrame) -> DataFrame | None:
+    """The outcome of the configured test run, or None where none is configured."""
+    if not work.config.tests.enabled:
+        return None
+    tests = D.select_tests(report_nodes, changes).orderBy("priority", "path")
+    run = run_tests(str(work.root), work.config.tests, [row["path"] for row in tests.toLocalIterator()])
+    print(f"tests: {run.status}{' — ' + run.note if run.note else ''}")
+    frame = work.spark.createDataFrame(
+        [(work.repo, run.status, list(run.command), run.exit_code, run.duration_seconds, run.output_tail, run.output_truncated, run.note)],
+        "repo string, status string, command array<string>, exit_code int, duration_seconds double, output_tail string, "
+        "output_truncated boolean, note string")
+    return frame.withColumn("failed", F.coalesce(F.expr("try_cast(regexp_extract(output_tail, '([0-9]+) failed', 1) as int)"), F.lit(0)))
 
 
 def _analyze(work: Workspace, args: argparse.Namespace) -> int:
@@ -179,18 +231,19 @@ def _analyze(work: Workspace, args: argparse.Namespace) -> int:
     session_id = f"{time.strftime('%Y%m%d-%H%M%S')}-{uuid.uuid4().hex[:6]}"
     settled = work.spark.createDataFrame(
         [(work.repo, session_id, started, time.time())], "repo string, session_id string, started_at double, settled_at double")
-    work.store.write_session(settled, report)
+    more = {**work.baseline_artifacts(), "pre_existing": cut_lineage(pre_existing)}
+    if args.intent:
+        more["intent"] = _verdict(work, args.intent, report.changes, report.symbol_changes, report.import_changes)
+    run = _test_run(work, report.walk.nodes, changes)
+    if run is not None:
+        more["tests"] = run
+    work.store.write_session(settled, report, more, args.trigger if "trigger" in args else "analyze")
     _print_impact(report.walk.nodes, False)
     for row in report.limitations.orderBy("rank").toLocalIterator():
         print(f"  limit: {row['text']}")
-    print(f"{pre_existing.count()} change(s) pre-date this session")
+    print(f"{more['pre_existing'].count()} change(s) pre-date this session")
     if args.intent:
-        for row in N.verdicts(*_intent_inputs(report, work.repo, args.intent, work.spark)).collect():
-            print(f"task: {model.RELATEDNESS_LABELS[row['relatedness']]}")
-    tests = D.select_tests(report.walk.nodes, changes).orderBy("priority", "path")
-    if work.config.tests.enabled:
-        run = run_tests(str(work.root), work.config.tests, [row["path"] for row in tests.toLocalIterator()])
-        print(f"tests: {run.status}{' — ' + run.note if run.note else ''}")
+        print(f"task: {model.RELATEDNESS_LABELS[more['intent'].first()['relatedness']]}")
     work.capture(snapshot)
     print(f"session {session_id}")
     return 0
@@ -202,14 +255,12 @@ def _intent(work: Workspace, args: argparse.Namespace) -> int:
     if changes is None:
         print("No session recorded.", file=sys.stderr)
         return 1
-    symbols, imports = work.store.artifact("symbols", session), work.store.artifact("imports", session)
-    none = F.array().cast("array<string>")
-    facts = changes.select("repo", "path").join(
-        symbols.groupBy("repo", "path").agg(F.collect_set("qualified_name").alias("symbols")), ["repo", "path"], "left").join(
-        imports.groupBy("repo", "path").agg(F.collect_set("rendered").alias("imports")), ["repo", "path"], "left").select(
-        "repo", "path", F.coalesce("symbols", none).alias("symbols"), F.coalesce("imports", none).alias("imports"))
-    tasks = work.spark.createDataFrame([(work.repo, args.task)], "repo string, task string")
-    row = N.verdicts(tasks, facts).first()
+    found = _verdict(work, args.task, changes, work.store.artifact_rows("symbols", session), work.store.artifact_rows("imports", session))
+    row = found.first()
+    work.store.write_artifacts({"intent": found}, work.spark.createDataFrame([(work.repo, session)], "repo string, session_id string"))
+    work.store.append_events(work.spark.createDataFrame(
+        [(time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), session, args.task, row["relatedness"])], "at string, session_id string, task string, relatedness string"
+    ).select("at", F.lit("intent_compared").alias("kind"), "session_id", F.to_json(F.struct("task", "relatedness")).alias("detail")))
     print(f"{model.RELATEDNESS_LABELS[row['relatedness']]}: {row['related_files']} of {row['changed_files']} file(s), {row['unmatched_tokens']} word(s) unmatched")
     return 0
 
@@ -269,13 +320,13 @@ def _watch(work: Workspace, args: argparse.Namespace) -> int:
         if last is not None and token != last:
             active_at, started = now, started or now
         elif started and now - active_at >= activity.quiet_period_seconds and now - started >= activity.minimum_session_seconds:
-            _analyze(work, argparse.Namespace(intent=None))
+            _analyze(work, argparse.Namespace(intent=None, trigger="watch"))
             active_at = started = None
         last = token
         time.sleep(activity.poll_interval_seconds if started else activity.idle_poll_interval_seconds)
 
 
-COMMANDS = {"init": _init, "status": _status, "sessions": _sessions, "graph": _graph, "analyze": _analyze,
+COMMANDS = {"init": _init, "status": _status, "sessions": _sessions, "show": _show, "graph": _graph, "analyze": _analyze,
             "intent": _intent, "impact": _impact, "export": _export, "watch": _watch}
 
 
@@ -291,7 +342,8 @@ def parser() -> argparse.ArgumentParser:
     made["export"].add_argument("--format", choices=("json", "svg", "excalidraw"), default="excalidraw")
     made["export"].add_argument("--view", choices=("change", "before-after"), default="change")
     made["export"].add_argument("--output")
-    for name in ("intent", "impact", "export"):
+    made["show"].add_argument("--file")
+    for name in ("show", "intent", "impact", "export"):
         made[name].add_argument("--session")
     return top
 

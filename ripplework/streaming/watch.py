@@ -6,7 +6,7 @@ after a failure, so a replay writes the same identifiers again and the store tak
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,6 +39,8 @@ class Watcher:
     known: Analysis | None = None
     #: A folder that keeps what contents hold, by digest. With one, nothing is carried from session to session in memory.
     cache: str | None = None
+    #: Answers what only the sampler knows of the same sessions: artifacts such as ``baseline`` and ``pre_existing``.
+    more: Callable[[DataFrame], Mapping[str, DataFrame]] | None = None
 
     def close(self, states: DataFrame, batch: int) -> None:
         order = Window.partitionBy("repo").orderBy("settled_at", "started_at")
@@ -54,7 +56,7 @@ class Watcher:
         before, after, changes = self.collect(settled)
         tree = build_tree(after, known=self.known, cache=self.cache)
         report = analyze_change(before, after, changes, self.max_depth, tree=tree, cache=self.cache)
-        self.store.write_session(settled, report)
+        self.store.write_session(settled, report, self.more(settled) if self.more else None)
         if self.cache is None:
             self.known = tree.analysis if self.known is None else self._with_others(tree.analysis, settled)
 
