@@ -17,6 +17,7 @@ from ripplework.operators import graph as G
 from ripplework.operators import impact as I
 from ripplework.operators import snapshot as S
 from ripplework.operators import symbols as Y
+from ripplework.session import cut_lineage
 from ripplework.sinks.store import Store
 
 
@@ -37,17 +38,17 @@ def load_delivery(store: Store, session_id: str | None = None) -> Delivery:
     """The session *session_id*, or all that are committed."""
     def read(name: str) -> DataFrame:
         # The operators key by repository; here a session stands in its place.
-        return store.artifact_rows(name, session_id).withColumn("repo", F.col("session_id")).drop("session_id")
+        return store.artifact_rows(name, session_id, sessions).withColumn("repo", F.col("session_id")).drop("session_id")
 
     def keyed(frame: DataFrame) -> DataFrame:
         return frame.withColumnRenamed("repo", "session_id")
 
     sessions = store.sessions()
-    sessions = sessions if session_id is None else sessions.where(F.col("session_id") == session_id)
-    gaps = store.gaps(session_id)
+    sessions = cut_lineage(sessions if session_id is None else sessions.where(F.col("session_id") == session_id))
+    gaps = cut_lineage(store.gaps(session_id))
     changes, modules, nodes, reaches, symbols, imports = (read(name) for name in ("changes", "modules", "nodes", "reaches", "symbols", "imports"))
     found = D.findings(nodes, reaches)
-    units = _units(sessions, read, changes, modules, nodes, reaches)
+    units = cut_lineage(_units(sessions, read, changes, modules, nodes, reaches))
     removed = G.module_changes(modules).where("change = 'module_removed'").select("repo", "path")
     record = D.Record(
         units=units, findings=found, missing=gaps.select(F.col("session_id").alias("repo"), "artifact"), modules_removed=removed,

@@ -88,9 +88,7 @@ class Store:
         keys, held, noted = sessions.select("repo", "session_id"), [], []
         try:
             for name in (name for name in ARTIFACTS if name in relations):
-                rows = relations[name]
-                columns = [column for column in _columns(name) if column in rows.columns]
-                keyed = rows.select(columns).join(keys, "repo").persist(StorageLevel.DISK_ONLY)
+                keyed = _whole(name, relations[name]).join(keys, "repo").persist(StorageLevel.DISK_ONLY)
                 held.append(keyed)
                 keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(self._path(f"artifacts/{name}"))
                 counted = keyed.groupBy("session_id").agg(F.count("*").alias("rows"))
@@ -102,17 +100,17 @@ class Store:
             for keyed in held:
                 keyed.unpersist()
 
-    def artifact(self, name: str, session_id: str | None = None) -> DataFrame | None:
-        """One artifact of committed sessions, or None when there is none."""
+    def artifact(self, name: str, session_id: str | None = None, sessions: DataFrame | None = None) -> DataFrame | None:
+        """One artifact of committed sessions, or None when there is none. *sessions* are those, if they were read before."""
         rows = self._rows(name)
         if rows is None:
             return None
         rows = rows if session_id is None else rows.where(F.col("session_id") == session_id)
-        return rows.join(self.sessions().select("session_id"), "session_id", "left_semi")
+        return rows.join((self.sessions() if sessions is None else sessions).select("session_id"), "session_id", "left_semi")
 
-    def artifact_rows(self, name: str, session_id: str | None = None) -> DataFrame:
+    def artifact_rows(self, name: str, session_id: str | None = None, sessions: DataFrame | None = None) -> DataFrame:
         """The same, without rows where there is no such artifact."""
-        rows = self.artifact(name, session_id)
+        rows = self.artifact(name, session_id, sessions)
         return self.spark.createDataFrame([], f"session_id string, {ARTIFACTS[name]}") if rows is None else rows
 
     def _rows(self, name: str) -> DataFrame | None:
@@ -140,6 +138,7 @@ class Store:
 
     def write_relations(self, settled: DataFrame, relations: Mapping[str, DataFrame], trigger: str = "watch") -> None:
         """Sessions of (repo, session_id, started_at, settled_at) from relations keyed by repo; ``changes`` has to be among them."""
+        relations = {name: _whole(name, rows) for name, rows in relations.items()}
         self.write_artifacts(relations, settled)
         counted = relations["changes"].groupBy("repo").agg(F.count("*").alias("changed_files"))
         moment = lambda name: F.date_format(F.timestamp_seconds(name), "yyyy-MM-dd'T'HH:mm:ssXXX")
@@ -149,26 +148,23 @@ class Store:
         fresh = records.join(self.sessions().select("session_id"), "session_id", "left_anti")
         fresh.write.mode("append").json(self._path("sessions"))
         told = self.events().where("kind = 'session_stabilised'").select("session_id")
-        counts = [name for name in DETAIL if name != "changed_files"]
-        described = records.join(told, "session_id", "left_anti").join(self._details(relations).select("repo", *counts), "repo", "left").select(
+        described = records.join(told, "session_id", "left_anti").join(self._details(settled, relations), "repo", "left").select(
             "*", F.lit(trigger).alias("trigger"), F.col("repo").alias("repository"))
         self.append_events(described.select(
             F.col("stabilised_at").alias("at"), F.lit("session_stabilised").alias("kind"), "session_id",
             F.to_json(F.struct("trigger", "repository", *DETAIL)).alias("detail")))
 
     @staticmethod
-    def _details(relations: Mapping[str, DataFrame]) -> DataFrame:
+    def _details(repos: DataFrame, relations: Mapping[str, DataFrame]) -> DataFrame:
         """(repo, counts...) of what a session's event tells; a count is null where its artifact was not given."""
-        known = [rows.select("repo") for rows in relations.values()]
-        told = reduce(DataFrame.unionByName, known).distinct()
-        for name, count in _DETAILS.items():
-            artifact = count[0]
-            if artifact not in relations:
-                told = told.withColumn(name, F.lit(None).cast("string" if name in ("intent", "tests") else "bigint"))
-                continue
-            told = told.join(relations[artifact].groupBy("repo").agg(F.expr(count[1]).alias(name)), "repo", "left")
-            if name not in ("intent", "tests"):
-                told = told.withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+        told = repos.select("repo").distinct()
+        for artifact in dict.fromkeys(source for source, _ in _DETAILS.values()):
+            counts = {name: count for name, (source, count) in _DETAILS.items() if source == artifact}
+            if artifact in relations:
+                counted = relations[artifact].groupBy("repo").agg(*[F.expr(count).alias(name) for name, count in counts.items()])
+                told = told.join(counted, "repo", "left").fillna(0, list(counts))
+            else:
+                told = told.select("*", *[F.lit(None).cast("string" if name in OPTIONAL else "bigint").alias(name) for name in counts])
         return told
 
     def sessions(self) -> DataFrame:
@@ -199,8 +195,9 @@ class Store:
         due = sessions.select("session_id", "repo", F.explode(F.array(*map(F.lit, ARTIFACTS))).alias("artifact"))
         noted = self._read("noted", NOTED).groupBy("session_id", "artifact").agg(F.max_by("rows", "at").alias("noted"))
         there = [
-            rows.groupBy("session_id").agg(F.count("*").alias("rows")).select("session_id", F.lit(name).alias("artifact"), "rows")
-            for name in ARTIFACTS if (rows := self.artifact(name, session_id)) is not None]
+            (rows if session_id is None else rows.where(F.col("session_id") == session_id)).groupBy("session_id").agg(
+                F.count("*").alias("rows")).select("session_id", F.lit(name).alias("artifact"), "rows")
+            for name in ARTIFACTS if (rows := self._rows(name)) is not None]
         nothing = self.spark.createDataFrame([], "session_id string, artifact string, rows long")
         found = due.join(noted, ["session_id", "artifact"], "left").join(
             reduce(DataFrame.unionByName, there, nothing), ["session_id", "artifact"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
@@ -264,5 +261,7 @@ class Store:
             return None
 
 
-def _columns(name: str) -> list[str]:
-    return [part.split()[0] for part in ARTIFACTS[name].split(", ")]
+def _whole(name: str, rows: DataFrame) -> DataFrame:
+    """*rows* with the columns and types of an artifact; what they do not have is null."""
+    declared = [part.split(" ", 1) for part in ARTIFACTS[name].split(", ")]
+    return rows.select(*[(F.col(column) if column in rows.columns else F.lit(None)).cast(kind).alias(column) for column, kind in declared])

@@ -10,7 +10,7 @@ import __spark_entry__ as entry_points
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ("content_digest", "symbol_diff", "change_status", "module_index", "import_resolution", "c_family_resolution", "innermost_interval",
-          "sibling_lookup", "graph_edge_diff", "impact_rings", "reaches_merge", "concerns", "intent_verdict", "layout_coords", "parse_status")
+          "sibling_lookup", "graph_edge_diff", "impact_rings", "reaches_merge", "concerns", "intent_verdict", "layout_coords", "parse_status", "stored_concerns")
 
 
 def _shown(value):
