@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ripplework.operators import impact as I
 
@@ -68,3 +69,31 @@ def test_the_walk_meets_calls_in_reading_order(spark, seed):
     assert got == nodes
     assert {(r["path"], r["symbol"], r["reason"]): (r["distance"], r["arrivals"]) for r in found.reaches.collect()} == reaches
     assert (found.truncated.count() > 0) == truncated
+
+
+def test_only_rows_that_meet_a_key_stay(spark):
+    """A ring moves the rows its frontier may reach, not all calls; nulls and every true match stay."""
+    rows = spark.range(20000).select(F.lit("r").alias("repo"), F.col("id").cast("string").alias("path"), F.when(F.col("id") % 2 == 0, "x").alias("name"))
+    keys = rows.where("path % 500 = 0")
+    kept = I.candidates(rows, keys, ["repo", "path", "name"])
+    assert kept.columns == rows.columns
+    assert kept.join(keys, ["repo", "path"], "left_semi").count() == keys.count() == 40
+    assert kept.count() < 3000
+    assert I.candidates(rows, keys.limit(0), ["repo", "path", "name"]).isEmpty()
+
+
+def test_a_walk_looks_up_the_edges_of_the_calls_it_meets(spark):
+    """With edges given to the walk, a call into another file counts only along one; within a file always."""
+    change = spark.createDataFrame([("r", "a.py", "f", "signature_changed", 1, "d")], "repo string, path string, qualified_name string, change string, line_start int, detail string")
+    listed = spark.createDataFrame([("r", "a.py", "modified", True)], "repo string, path string, status string, analysed boolean")
+    none = spark.createDataFrame([], "repo string, path string, added bigint, removed bigint")
+    called = spark.createDataFrame(
+        [("r", s, 1, "f", 0, "a.py", ["f"], "confirmed", c) for s, c in (("b.py", "g"), ("c.py", None), ("d.py", "h"), ("a.py", "own"))]
+        + [("r", "e.py", 2, "c", 0, "c.py", ["anything"], "confirmed", "late")],
+        "repo string, path string, line int, name string, ordinal int, target string, names array<string>, confidence string, caller string")
+    edges = spark.createDataFrame([("r", "b.py", "a.py"), ("r", "c.py", "a.py"), ("r", "e.py", "c.py")], "repo string, source_path string, target_path string")
+    direct, seeds = I.direct_nodes(listed, change, none), I.seeds_of(change)
+    lazily = I.walk(direct, seeds, I.walkable_calls(called), 5, edges).nodes
+    assert {(x.path, x.symbol, x.distance) for x in lazily.collect()} == {
+        ("a.py", "f", 0), ("a.py", "own", 1), ("b.py", "g", 1), ("c.py", None, 1), ("e.py", "late", 2)}
+    assert sorted(map(str, lazily.collect())) == sorted(map(str, I.walk(direct, seeds, I.walkable_calls(called, edges), 5).nodes.collect()))
