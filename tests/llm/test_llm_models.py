@@ -141,3 +141,13 @@ def test_pipeline_stage_by_stage(spark):
 @needs_data
 def test_pipeline_runs(spark):
     assert __spark_entry__.queries()["pipeline"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_documents_are_judged_in_arrow_one_text_at_a_time():
+    """A batch of texts is judged without a table of Python objects; nulls fail, as the measures say."""
+    import pyarrow as pa
+
+    from ripplework.llm import quality_rules
+
+    texts = [None, b"", b"a b c", b" ".join(b"w%d" % n for n in range(60)), b"x y z " * 40]
+    assert quality_rules._passes(pa.array(texts, pa.binary())).to_pylist() == [False, False, False, True, False]
