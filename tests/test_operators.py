@@ -142,6 +142,22 @@ def test_python_facts_keep_every_marker():
     assert file_facts(b"def (:")["parse_error"].startswith("SyntaxError")
 
 
+def test_python_definitions_are_spelled_like_the_library_and_only_on_demand():
+    import ast
+    import inspect
+
+    from ripplework.operators import python_source
+
+    for text in (inspect.getsource(ast), inspect.getsource(inspect), "x = f'{a!r:>{w}}' + u'b'\nasync def f(*, a=-1j, **k): yield ...\n"):
+        assert [python_source.spelled(x) for x in ast.parse(text).body] == [ast.dump(x) for x in ast.parse(text).body]
+    plain = b"import a as x, b\ndef f(a: p.q = None, b=1):\n    a.b(1)\n"
+    assert file_facts(plain, symbols=False) == {**file_facts(plain), "definitions": []}
+    # What cannot be spelled is a parse error, whatever is asked for.
+    deep, long = b"def f(a=" + b"-" * 900 + b"1): pass\n", b"def f(a=0x" + b"f" * 5000 + b"): pass\n"
+    for bad in (deep, long):
+        assert file_facts(bad)["parse_error"] and file_facts(bad, symbols=False) == file_facts(bad)
+
+
 def test_an_empty_view_still_opens():
     import json
     from xml.dom.minidom import parseString
