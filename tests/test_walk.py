@@ -97,3 +97,25 @@ def test_a_walk_looks_up_the_edges_of_the_calls_it_meets(spark):
     assert {(x.path, x.symbol, x.distance) for x in lazily.collect()} == {
         ("a.py", "f", 0), ("a.py", "own", 1), ("b.py", "g", 1), ("c.py", None, 1), ("e.py", "late", 2)}
     assert sorted(map(str, lazily.collect())) == sorted(map(str, I.walk(direct, seeds, I.walkable_calls(called, edges), 5).nodes.collect()))
+
+
+def test_a_ring_carries_what_a_route_is_told_from(spark):
+    """Neither chain nor evidence is shuffled with every arrival; both are told in full, also past an entry without a name."""
+    change = spark.createDataFrame([("r", "a.py", "f", "removed", None, "was f")], CHANGES)
+    listed = spark.createDataFrame([("r", "a.py", "modified", True)], "repo string, path string, status string, analysed boolean")
+    none = spark.createDataFrame([], "repo string, path string, added bigint, removed bigint")
+    calls = spark.createDataFrame(
+        [("r", "b.py", 3, "a.f", 0, "a.py", "confirmed", None, 0, "f"), ("r", "c.py", 5, "b.any", 1, "b.py", "inferred", "g", 0, "any"),
+         ("r", "c.py", 7, "b.two", 2, "b.py", "confirmed", "g", 0, "two")], CALLS)
+    seeds = I.seeds_of(change)
+    entries = seeds.select("repo", "path", "name", "propagation", "ord", F.array().cast("array<string>").alias("trail"), F.col("evidence").alias("origin"))
+    assert not {"chain", "evidence", "category", "reason"} & set(I._arrivals(entries, calls).columns)
+    found = I.walk(I.direct_nodes(listed, change, none), seeds, calls)
+    last = found.nodes.where("path = 'c.py'").first()
+    assert (last.category, last.reason, last.confidence, last.chain) == ("potential", "indirect_dependency", "inferred", ["a.py", "b.py", "c.py"])
+    assert [tuple(e) for e in last.evidence] == [
+        ("symbol_change", "a.py", None, "was f"), ("call_expression", "b.py", 3, "a.f reaches a.py#f"), ("call_expression", "c.py", 5, "b.any reaches b.py#any")]
+    again = found.reaches.first()
+    assert (again.path, again.symbol, again.reason, again.category, again.confidence, again.chain, again.arrivals) == (
+        "c.py", "g", "indirect_dependency", "potential", "confirmed", ["a.py", "b.py", "c.py"], 1)
+    assert {e.detail for e in found.evidence.where("reach_reason is not null").collect()} == {"was f", "a.f reaches a.py#f", "b.two reaches b.py#two"}
