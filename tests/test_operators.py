@@ -69,6 +69,23 @@ def test_line_counts_agree_with_difflib(spark):
         assert (r["insertions"], r["deletions"]) == want
 
 
+def test_lines_added_after_an_unfinished_line_need_no_python(spark):
+    """Counts agree with difflib whatever ends the lines, and no text of a mere addition is sent to a Python worker."""
+    import difflib
+    olds = ["a", "a\nb", "a\r", "a\r\n", "a\u2028", "a\n", "a\na", "a\x85b"]
+    ends = ["\n", "\nb", "\r\nb", "\r", "\n\n", "\x0cx\ny\n", "\u2028a\na", "\x1ea", "\na\na"]
+    pairs = [(old, old + end) for old in olds for end in ends]
+    counted = L.with_line_counts(spark.createDataFrame([*pairs, ("a", "ab"), ("a\r", "a\rb")], "a string, b string"), "a", "b")
+    for r in counted.collect():
+        codes = [c for c in difflib.SequenceMatcher(None, r["a"].splitlines(), r["b"].splitlines(), autojunk=False).get_opcodes() if c[0] != "equal"]
+        assert (r["insertions"], r["deletions"]) == (sum(c[4] - c[3] for c in codes), sum(c[2] - c[1] for c in codes)), (r["a"], r["b"])
+    kept, L._opcode_counts = L._opcode_counts, lambda old, new: F.raise_error(F.concat(F.lit("sent: "), old, new)).cast(L.COUNTS)
+    try:
+        assert L.with_line_counts(spark.createDataFrame(pairs, "a string, b string"), "a", "b").where("insertions >= 0").count() == len(pairs)
+    finally:
+        L._opcode_counts = kept
+
+
 def test_file_diff_states(spark):
     rows = [("r", "a", "x\n", "y\n", False, False, None), ("r", "b", None, None, False, False, None), ("r", "c", "x", "y", True, False, None),
             ("r", "d", "x\x00", "y", False, False, None), ("r", "e", "", "\n".join(map(str, range(900))), False, False, "no")]
