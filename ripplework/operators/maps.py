@@ -149,12 +149,13 @@ def capped(nodes: DataFrame, edges: DataFrame, limit: int = model.MAX_MAP_NODES)
     nodes sends no more than *limit* per task.
     """
     place = Window.partitionBy("repo").orderBy("state_rank", F.coalesce("distance", F.lit(0)), "path")
-    kept = nodes.withColumn("place", F.row_number().over(place)).where(F.col("place") <= limit)
+    # Views, their layers and their boxes are each read by several later passes; computed once each.
+    kept = cut_lineage(nodes.withColumn("place", F.row_number().over(place)).where(F.col("place") <= limit))
     omitted = nodes.groupBy("repo").agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("omitted"))
     ids = kept.select("repo", "path")
     drawn = edges.join(ids.withColumnRenamed("path", "source"), ["repo", "source"], "left_semi").join(
         ids.withColumnRenamed("path", "target"), ["repo", "target"], "left_semi")
-    return kept, drawn, omitted
+    return kept, cut_lineage(drawn), omitted
 
 
 # --------------------------------------------------------------------------------- layout
@@ -197,7 +198,7 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<s:int,t:int>>")
     ranks = sizes.join(pairs, "repo", "left").select(
         "repo", F.posexplode(layer_ranks(F.col("size"), F.coalesce("pairs", none))).alias("number", "layer"))
-    return numbered.join(ranks, ["repo", "number"]).drop("number")
+    return cut_lineage(numbered.join(ranks, ["repo", "number"]).drop("number"))
 
 
 def placed(layered: DataFrame) -> DataFrame:
@@ -208,10 +209,10 @@ def placed(layered: DataFrame) -> DataFrame:
     stacked = layered.withColumn("row", F.row_number().over(column) - 1).withColumn(
         "stack", size * HEIGHT + (size - 1) * ROW_GAP)
     tallest = F.max("stack").over(whole)
-    return stacked.select(
+    return cut_lineage(stacked.select(
         *layered.columns, (F.col("layer") * (WIDTH + COLUMN_GAP)).alias("x"),
         ((tallest - F.col("stack")) / 2 + F.col("row") * (HEIGHT + ROW_GAP)).alias("y"),
-        F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+        F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height")))
 
 
 def routed(boxes: DataFrame, edges: DataFrame) -> DataFrame:

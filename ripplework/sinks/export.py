@@ -27,15 +27,16 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 
 def _number(value: Column) -> Column:
-    return F.format_string("%.1f", value.cast("double"))
+    return value.cast("double").cast("decimal(18,1)").cast("string")
 
 
-def _gather(nodes: DataFrame, edges: DataFrame, box: Column, arrow: Column) -> DataFrame:
-    """(repo, boxes, arrows): rendered pieces in drawing order."""
+def _gather(nodes: DataFrame, edges: DataFrame, box: Column, arrow: Column,
+            of_boxes: tuple[Column, ...] = (), of_arrows: tuple[Column, ...] = ()) -> DataFrame:
+    """(repo, boxes, arrows): rendered pieces in drawing order, and what else is asked of them."""
     boxes = nodes.groupBy("repo").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("place", box.alias("piece")))), lambda x: x["piece"]).alias("boxes"))
+        F.array_sort(F.collect_list(F.struct("place", box.alias("piece")))), lambda x: x["piece"]).alias("boxes"), *of_boxes)
     arrows = edges.groupBy("repo").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("kind", "source", "target", arrow.alias("piece")))), lambda x: x["piece"]).alias("arrows"))
+        F.array_sort(F.collect_list(F.struct("kind", "source", "target", arrow.alias("piece")))), lambda x: x["piece"]).alias("arrows"), *of_arrows)
     return boxes.join(arrows, "repo", "left")
 
 
@@ -97,9 +98,9 @@ def to_svg(view: str, boxes: DataFrame, routes: DataFrame, omitted: DataFrame) -
     arrow = F.concat(
         F.lit('<path fill="none" stroke="'), _lookup(EDGE_COLOURS, F.col("kind")), F.lit('" d="M'), at(0), F.lit(" C"), at(1), F.lit(" "),
         at(2), F.lit(" "), at(3), F.lit('"/>'))
-    extent = boxes.groupBy("repo").agg(F.max(x + F.col("width")).alias("right"), F.max(y + F.col("height")).alias("bottom"))
-    low = routes.groupBy("repo").agg(F.max(F.array_max(F.transform("points", lambda p: p["y"]))).alias("low"))
-    gathered = _gather(boxes, routes, box, arrow).join(extent, "repo").join(low, "repo", "left").join(omitted, "repo", "left")
+    extent = F.max(x + F.col("width")).alias("right"), F.max(y + F.col("height")).alias("bottom")
+    low = F.max(F.array_max(F.transform("points", lambda p: p["y"]))).alias("low")
+    gathered = _gather(boxes, routes, box, arrow, extent, (low,)).join(omitted, "repo", "left")
     width = _number(F.col("right") + 2 * PAD)
     height = _number(F.greatest("bottom", F.coalesce("low", F.lit(0.0))) + 2 * PAD)
     left_out = F.when(F.col("omitted") > 0, F.concat(F.lit(" "), F.col("omitted").cast("string"), F.lit(" further node(s) are not drawn."))).otherwise("")

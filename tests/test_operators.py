@@ -13,6 +13,7 @@ from ripplework.operators import maps as M
 from ripplework.operators import resolve as R
 from ripplework.operators.intervals import innermost_interval, levels_for
 from ripplework.operators.python_source import file_facts
+from ripplework.sinks import export as E
 
 
 def one(spark, column):
@@ -183,3 +184,25 @@ def test_an_empty_view_still_opens():
     assert parseString(empty_document("change", "svg", "a<b")).documentElement.tagName == "svg"
     assert json.loads(empty_document("change", "json", "r"))["nodes"] == []
     assert json.loads(empty_document("before-after", "excalidraw", "r"))["elements"] == []
+
+
+def test_a_drawing_reads_its_boxes_once_computed(spark):
+    """Views, layers and boxes are tables for the passes after them; a drawing says its numbers to one digit."""
+    nodes = spark.createDataFrame([("r", f"p{n}", "modified", 2, 0, "", "") for n in range(5)],
+                                  "repo string, path string, state string, state_rank int, distance int, detail string, link string")
+    edges = spark.createDataFrame([("r", "p0", "p1", "affects", 1), ("r", "p1", "p2", "affects", 1), ("r", "p2", "p0", "affects", 1)],
+                                  "repo string, source string, target string, kind string, evidence long")
+    kept, drawn, omitted = M.capped(nodes, edges)
+    layered = M.layers(kept, drawn)
+    boxes = M.placed(layered)
+    assert all(frame.inputFiles() for frame in (kept, drawn, layered, boxes))
+    routes = M.routed(boxes, drawn)
+    document = E.to_svg("change", boxes, routes, omitted).first().document
+    assert document.count("<rect ") == 5 and document.count("<path ") == 3
+    at = {r.path: (r.x, r.y) for r in boxes.collect()}
+    assert all(f'<rect x="{x:.1f}" y="{y:.1f}" width="236.0" height="64.0"' in document for x, y in at.values())
+    ends = [y + 64 for _, y in at.values()] + [p.y for r in routes.collect() for p in r.points]
+    right, low = max(x for x, _ in at.values()) + 236 + 32, max(ends) + 32
+    assert f'width="{right:.1f}"' in document and f'height="{low:.1f}"' in document
+    for value in (0.0, -28.0, 0.25, 0.05, 154.75, 1e9 + 0.5):
+        assert one(spark, E._number(F.lit(value))) == one(spark, F.format_string("%.1f", F.lit(value)))
