@@ -44,3 +44,13 @@ def test_query_agrees_with_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 def test_entry_runs(spark):
     assert entry_points.entry(spark).count() > 0
+
+
+def test_listed_names_are_not_broadcast(spark, tmp_path):
+    """Ten names a part are far more than the column of keys that their size is guessed from."""
+    rows = [(i, i % 50 + 1) for i in range(200)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = entry_points.queries()["symbol_fingerprints"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line and "p_partkey" in line]
+    assert joins and not any("Broadcast" in line for line in joins), plan
