@@ -206,3 +206,30 @@ def test_a_drawing_reads_its_boxes_once_computed(spark):
     assert f'width="{right:.1f}"' in document and f'height="{low:.1f}"' in document
     for value in (0.0, -28.0, 0.25, 0.05, 154.75, 1e9 + 0.5):
         assert one(spark, E._number(F.lit(value))) == one(spark, F.format_string("%.1f", F.lit(value)))
+
+
+def test_resolving_imports_shuffles_their_columns_once(spark):
+    """Keys are looked up without what else an import holds, and only relative imports ask for the name of their file."""
+    from ripplework.operators import resolve as R
+
+    files = spark.createDataFrame([("r", p) for p in ("app/__init__.py", "app/a.py", "app/b.py", "web/x.ts", "src/m.rs")], "repo string, path string")
+    imports = spark.createDataFrame([
+        ("r", "app/a.py", 0, "app", "b", None, 0, 1), ("r", "app/a.py", 1, "", "b", "c", 1, 2), ("r", "app/a.py", 2, "os", None, None, 0, 3),
+        ("r", "app/a.py", 3, "app.b", None, None, None, 4), ("r", "web/y.ts", 0, "./x", None, None, 0, 1), ("r", "notes.txt", 0, "app", None, None, 0, 1),
+        ("r", "src/m.rs", 0, "crate::m::f", "f", None, 0, 9)], "repo string, path string, ordinal int, module string, name string, alias string, level int, line int")
+    heads = files.selectExpr("repo", "path", "'' as head")
+    resolved = R.resolve_imports(imports, files, heads)
+    assert resolved.columns == ["repo", "path", "ordinal", "module", "name", "alias", "level", "line", "target"]
+    assert {(r.path, r.ordinal, r.module, r.alias, r.line): r.target for r in resolved.collect()} == {
+        ("app/a.py", 0, "app", None, 1): "app/b.py", ("app/a.py", 1, "", "c", 2): "app/b.py", ("app/a.py", 2, "os", None, 3): None,
+        ("app/a.py", 3, "app.b", None, 4): "app/b.py", ("web/y.ts", 0, "./x", None, 1): "web/x.ts", ("src/m.rs", 0, "crate::m::f", None, 9): "src/m.rs"}
+
+    def nodes(plan):
+        yield plan
+        below = plan.children()
+        for i in range(below.size()):
+            yield from nodes(below.apply(i))
+
+    plan = resolved._jdf.queryExecution().sparkPlan()
+    joined = [n.output().mkString(",") for n in nodes(plan) if "Join" in n.nodeName() and "key#" in n.toString().split("\n")[0]]
+    assert joined and not any("line#" in x or "alias#" in x for x in joined), joined
