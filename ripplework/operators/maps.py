@@ -152,9 +152,10 @@ def capped(nodes: DataFrame, edges: DataFrame, limit: int = model.MAX_MAP_NODES)
     # Views, their layers and their boxes are each read by several later passes; computed once each.
     kept = cut_lineage(nodes.withColumn("place", F.row_number().over(place)).where(F.col("place") <= limit))
     omitted = nodes.groupBy("repo").agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("omitted"))
-    ids = kept.select("repo", "path")
-    drawn = edges.join(ids.withColumnRenamed("path", "source"), ["repo", "source"], "left_semi").join(
-        ids.withColumnRenamed("path", "target"), ["repo", "target"], "left_semi")
+    # A view's paths are one row of proven size, so an edge meets both its ends in one join.
+    shown = kept.groupBy("repo").agg(F.collect_set("path").alias("shown"))
+    drawn = edges.join(shown, "repo").where(F.array_contains("shown", F.col("source")) & F.array_contains("shown", F.col("target"))).select(
+        "repo", "target", "source", *[name for name in edges.columns if name not in ("repo", "source", "target")])
     return kept, cut_lineage(drawn), omitted
 
 
@@ -187,18 +188,22 @@ def layer_ranks(count: Column, edges: Column) -> Column:
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """*nodes* of capped views with ``layer``. A view has at most forty nodes per repository."""
-    numbered = nodes.withColumn("number", F.col("place") - 1)
-    ids = numbered.select("repo", "path", "number")
-    pairs = (
-        edges.where("source <> target").select("repo", "source", "target").distinct()
-        .join(ids.select("repo", F.col("path").alias("source"), F.col("number").alias("s")), ["repo", "source"])
-        .join(ids.select("repo", F.col("path").alias("target"), F.col("number").alias("t")), ["repo", "target"])
-        .groupBy("repo").agg(F.collect_list(F.struct("s", "t")).alias("pairs")))
-    sizes = numbered.groupBy("repo").agg(F.count("*").cast("int").alias("size"))
-    none = F.array().cast("array<struct<s:int,t:int>>")
-    ranks = sizes.join(pairs, "repo", "left").select(
-        "repo", F.posexplode(layer_ranks(F.col("size"), F.coalesce("pairs", none))).alias("number", "layer"))
-    return cut_lineage(numbered.join(ranks, ["repo", "number"]).drop("number"))
+    views = nodes.groupBy("repo").agg(F.collect_list(F.struct(*nodes.columns)).alias("view"))
+    arrows = edges.where("source <> target").groupBy("repo").agg(F.collect_set(F.struct("source", "target")).alias("arrows"))
+
+    def numbers(path: Column) -> Column:
+        return F.transform(F.filter("view", lambda n: n["path"] == path), lambda n: n["place"] - 1)
+
+    none = F.array().cast("array<struct<source:string,target:string>>")
+    pairs = F.flatten(F.transform(F.coalesce("arrows", none), lambda e: F.flatten(F.transform(
+        numbers(e["source"]), lambda s: F.transform(numbers(e["target"]), lambda t: F.struct(s.alias("s"), t.alias("t")))))))
+    # One step each, so that pairs and ranks are made once a view and not once a node.
+    paired = views.where("repo is not null").join(arrows, "repo", "left").select("repo", "view", pairs.alias("pairs"))
+    ranked = paired.select("repo", F.explode(F.array(F.struct("view", layer_ranks(F.size("view"), F.col("pairs")).alias("ranks")))).alias("v"))
+    rows = ranked.select("repo", F.explode("v.view").alias("n"), F.col("v.ranks").alias("ranks"))
+    return cut_lineage(rows.select(
+        "repo", *[F.col(f"n.{name}").alias(name) for name in nodes.columns if name != "repo"],
+        F.get("ranks", F.col("n.place") - 1).alias("layer")).where("layer is not null"))
 
 
 def placed(layered: DataFrame) -> DataFrame:
@@ -206,7 +211,8 @@ def placed(layered: DataFrame) -> DataFrame:
     column = Window.partitionBy("repo", "layer").orderBy("state_rank", "path")
     whole = Window.partitionBy("repo")
     size = F.count("*").over(Window.partitionBy("repo", "layer"))
-    stacked = layered.withColumn("row", F.row_number().over(column) - 1).withColumn(
+    # All three windows are within a repository: dealt by it, boxes travel once.
+    stacked = layered.repartition("repo").withColumn("row", F.row_number().over(column) - 1).withColumn(
         "stack", size * HEIGHT + (size - 1) * ROW_GAP)
     tallest = F.max("stack").over(whole)
     return cut_lineage(stacked.select(
@@ -217,9 +223,13 @@ def placed(layered: DataFrame) -> DataFrame:
 
 def routed(boxes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with four points: a curve forward, a detour below the boxes otherwise."""
-    at = boxes.select("repo", "path", "x", "y")
-    joined = edges.join(at.select("repo", F.col("path").alias("source"), F.col("x").alias("sx"), F.col("y").alias("sy")), ["repo", "source"]).join(
-        at.select("repo", F.col("path").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")), ["repo", "target"])
+    at = boxes.groupBy("repo").agg(F.collect_list(F.struct("path", "x", "y")).alias("at"))
+
+    def boxes_at(end: str) -> Column:
+        return F.explode(F.filter("at", lambda box: box["path"] == F.col(end)))
+
+    joined = edges.join(at, "repo").withColumn("from", boxes_at("source")).withColumn("to", boxes_at("target")).select(
+        *edges.columns, F.col("from.x").alias("sx"), F.col("from.y").alias("sy"), F.col("to.x").alias("tx"), F.col("to.y").alias("ty"))
 
     def point(x: Column, y: Column) -> Column:
         return F.struct(x.alias("x"), y.alias("y"))

@@ -269,7 +269,7 @@ def _order_maps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     edges = lines.select("repo", "l_partkey", following.alias("b")).where("b > l_partkey").select(
         "repo", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("b").cast("string")).alias("target"),
         F.lit("affects").alias("kind")).groupBy("repo", "source", "target", "kind").agg(F.count("*").alias("evidence"))
-    nodes = lines.select("repo", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path")).distinct().select(
+    nodes = lines.select("repo", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path")).repartition("repo").distinct().select(
         "repo", "path", F.lit("modified").alias("state"), F.lit(2).alias("state_rank"), F.lit(0).alias("distance"), F.lit("").alias("detail"),
         F.lit("").alias("link"))
     kept, drawn, _ = M.capped(nodes, edges)

@@ -210,8 +210,6 @@ def test_a_drawing_reads_its_boxes_once_computed(spark):
 
 def test_resolving_imports_shuffles_their_columns_once(spark):
     """Keys are looked up without what else an import holds, and only relative imports ask for the name of their file."""
-    from ripplework.operators import resolve as R
-
     files = spark.createDataFrame([("r", p) for p in ("app/__init__.py", "app/a.py", "app/b.py", "web/x.ts", "src/m.rs")], "repo string, path string")
     imports = spark.createDataFrame([
         ("r", "app/a.py", 0, "app", "b", None, 0, 1), ("r", "app/a.py", 1, "", "b", "c", 1, 2), ("r", "app/a.py", 2, "os", None, None, 0, 3),
@@ -233,3 +231,32 @@ def test_resolving_imports_shuffles_their_columns_once(spark):
     plan = resolved._jdf.queryExecution().sparkPlan()
     joined = [n.output().mkString(",") for n in nodes(plan) if "Join" in n.nodeName() and "key#" in n.toString().split("\n")[0]]
     assert joined and not any("line#" in x or "alias#" in x for x in joined), joined
+
+
+def _view(spark):
+    nodes = spark.createDataFrame([("r", p, "modified", 2, 0, "d") for p in "abcd"] + [("q", "a", "added", 0, 0, ""), (None, "a", "added", 0, 0, "")],
+                                  "repo string, path string, state string, state_rank int, distance int, detail string")
+    edges = spark.createDataFrame([("r", "a", "b", "affects", 1), ("r", "b", "c", "affects", 1), ("r", "a", "c", "affects", 1), ("r", "c", "x", "affects", 1),
+                                   ("q", "a", "b", "affects", 1)], "repo string, source string, target string, kind string, evidence int")
+    return nodes, edges
+
+
+def test_boxes_and_edges_of_views_travel_once_a_step(spark, monkeypatch):
+    """Everything in a view is found by its repository: no end of an edge asks for a shuffle of its own, nor does a layer."""
+    monkeypatch.setattr(M, "cut_lineage", lambda frame: frame.localCheckpoint())
+    nodes, edges = _view(spark)
+    kept, drawn, _ = M.capped(nodes, edges)
+    assert sorted((r.source, r.target) for r in drawn.collect()) == [("a", "b"), ("a", "c"), ("b", "c")]
+    layered = M.layers(kept, drawn)
+    assert {(r.repo, r.path): r.layer for r in layered.collect()} == {("r", "a"): 0, ("r", "b"): 1, ("r", "c"): 2, ("r", "d"): 0, ("q", "a"): 0}
+    boxes = M.placed(layered)
+    assert {(r.repo, r.path): (r.x, r.y) for r in boxes.collect()} == {
+        ("r", "a"): (0.0, 0.0), ("r", "d"): (0.0, 80.0), ("r", "b"): (308.0, 40.0), ("r", "c"): (616.0, 40.0), ("q", "a"): (0.0, 0.0)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(M, "cut_lineage", lambda frame: frame)
+        shuffles = [frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") for frame in (M.placed(layered), M.routed(boxes, drawn))]
+        assert shuffles == [1, 2]
+        assert sorted((r.source, r.target, r.points[0].x) for r in M.routed(boxes, drawn).collect()) == [("a", "b", 236.0), ("a", "c", 236.0), ("b", "c", 544.0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
