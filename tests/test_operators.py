@@ -260,3 +260,16 @@ def test_boxes_and_edges_of_views_travel_once_a_step(spark, monkeypatch):
         assert sorted((r.source, r.target, r.points[0].x) for r in M.routed(boxes, drawn).collect()) == [("a", "b", 236.0), ("a", "c", 236.0), ("b", "c", 544.0)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_exports_gather_rows_and_not_what_is_drawn_of_them(spark, monkeypatch):
+    monkeypatch.setattr(M, "cut_lineage", lambda frame: frame.localCheckpoint())
+    kept, drawn, omitted = M.capped(*_view(spark))
+    layered = M.layers(kept, drawn)
+    boxes = M.placed(layered)
+    routes = M.routed(boxes, drawn)
+    for frame, marks in ((E.to_excalidraw("change", boxes, routes, omitted), ("to_json", "structstojson")), (E.to_svg("change", boxes, routes, omitted), ("<g>", "<path"))):
+        lines = frame._jdf.queryExecution().sparkPlan().toString().splitlines()
+        gathered = [line for line in lines if "collect_list" in line]
+        assert gathered and not any(mark in line for line in gathered for mark in marks)
+        assert {r.repo for r in frame.collect()} == {"r", "q"}
